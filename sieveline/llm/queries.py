@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import op5_bpe_automaton
+from .chat import OP3_SQL, op3_chat_format
+from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .mixing import op6_mix_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_mix_sources": op6_mix_sources,
+    "op8_exact_dedup": op8_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": OP3_SQL,
+    "op8_exact_dedup": OP8_SQL,
+}
