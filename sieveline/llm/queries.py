@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import op5_bpe_automaton
 from .chat import OP3_SQL, op3_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .flac import op7_flac_media
 from .mixing import op6_mix_sources
+from .token_files import op10_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_mix_sources": op6_mix_sources,
+    "op7_flac_media": op7_flac_media,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
