@@ -6,7 +6,8 @@ length, and a SHA-256 digest. Recipes alone are staged; no text is moved after t
 Names are verified over the whole corpus: every (name, length) must stand for one digest. If one stands
 for more (a collision), recipes are compared by digest instead, for all rows. Then equal texts have equal
 ordered identifier lists, and the other way round. Groups are aggregated before the shuffle, and the join
-back has one row per list on its other side, so adaptive execution can split a hot group.
+back has one row per list on its other side; that side is staged first, so that no aggregate stands between
+the exchanges and the join and adaptive execution can split a hot group.
 
 Results for edge cases: null counts as the empty text; empty texts are equal (empty recipe); rows that
 repeat a doc_id are one document, each row is returned and shares its flag; a null doc_id is less than
@@ -97,7 +98,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", average: in
     identifiers = F.col("digests") if colliding(staged) else F.arrays_zip("names", "sizes")
     rows = staged.select(key, "text_sha256", identifiers.alias("recipe"))
     same = rows.groupBy("recipe").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(same, "recipe")
+    joined = rows.join(stage(same, "recipe-groups"), "recipe")
     return joined.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

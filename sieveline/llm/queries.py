@@ -10,10 +10,14 @@ from .bpe_automaton import op5_bpe_automaton
 from .chat import OP3_SQL, op3_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .flac import op7_flac_media
+from .language_id import op2_language_id
 from .mixing import op6_mix_sources
 from .token_files import op10_token_files
+from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_mix_sources": op6_mix_sources,
