@@ -139,7 +139,8 @@ class Mix:
         """Pieces with `times`: how many slots hold their block."""
         times = self.slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("times"))
         cut = pieces(self.placed, self.block_tokens)
-        joined = cut.join(times, cut.source.eqNullSafe(times.s) & (cut.block == times.b), "left")
+        # the planner takes exploded slots for as few as their sources: without the hint it would broadcast them
+        joined = cut.join(times.hint("merge"), cut.source.eqNullSafe(times.s) & (cut.block == times.b), "left")
         return joined.drop("s", "b").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:
@@ -169,7 +170,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts = parts.withColumn("nth", F.dense_rank().over(same)).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "nth", "copy", "parts", (F.col("words") == F.col("size")).alias("whole"), F.col("size").alias("n"))
     sized = docs.withColumn("n", word_count(F.col("text")))
     numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "n").orderBy("text")))
-    joined = numbered.join(parts, numbered.doc_id.eqNullSafe(parts.d) & numbered.source.eqNullSafe(parts.s) & (numbered.n == parts.n) & (numbered.nth == parts.nth))
+    joined = numbered.join(parts.hint("merge"), numbered.doc_id.eqNullSafe(parts.d) & numbered.source.eqNullSafe(parts.s) & (numbered.n == parts.n) & (numbered.nth == parts.nth))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     chosen = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
     out = joined.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(chosen))
