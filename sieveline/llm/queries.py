@@ -10,6 +10,7 @@ from .bpe_automaton import op5_bpe_automaton
 from .chat import OP3_SQL, op3_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .flac import op7_flac_media
+from .html_extract import op9_html_main_text
 from .language_id import op2_language_id
 from .mixing import op6_mix_sources
 from .token_files import op10_token_files
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_flac_media": op7_flac_media,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html_main_text": op9_html_main_text,
     "op10_token_files": op10_token_files,
 }
 
