@@ -126,10 +126,10 @@ def pieces(placed: DataFrame, block_tokens: int) -> DataFrame:
 class Mix:
     """The mixture of `docs`: `targets`, `placed` documents, `slots`, and what follows from them."""
 
-    def __init__(self, docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_tokens: int = 128, shard_blocks: int = 8192):
+    def __init__(self, docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_tokens: int = 128, shard_blocks: int = 8192, keep: tuple[str, ...] = ()):
         spark = docs.sparkSession
         self.block_tokens = block_tokens
-        sizes = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
+        sizes = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *keep), "sizes")
         self.targets = stage(target_table(sizes, list(weights), share, most), "targets")
         rows = self.targets.agg(F.sum("n_rows")).first()[0] or 0
         self.placed = positions(sizes, rows)
@@ -155,27 +155,29 @@ class Mix:
         return rows.join(t, rows.source.eqNullSafe(t.s)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def row_name(doc_id: str = "doc_id") -> Column:
+    """A name that only rows with the same doc_id, source and text share."""
+    return F.concat_ws("|", F.col(doc_id).cast("string"), F.hex(F.xxhash64("source", "text")))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each time a document's blocks are taken, a row with the words it gives.
 
     A document that is taken whole keeps its text as it is; else the words are joined by one space.
     Other columns keep their values, n_chars is counted anew.
     """
-    mix = Mix(docs, **options)
+    mix = Mix(docs.withColumn("row", row_name()), keep=("row",), **options)
     taken = mix.pieces_taken().where("times > 0")
     taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
-    parts = taken.groupBy("doc_id", "source", "size", "copy", "at").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("parts"), F.sum("n_words").alias("words"))
-    # rows that repeat a (doc_id, source, size) are told apart by a number in the order of their places
-    same = Window.partitionBy("doc_id", "source", "size").orderBy("at")
-    parts = parts.withColumn("nth", F.dense_rank().over(same)).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "nth", "copy", "parts", (F.col("words") == F.col("size")).alias("whole"), F.col("size").alias("n"))
-    sized = docs.withColumn("n", word_count(F.col("text")))
-    numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "n").orderBy("text")))
-    joined = numbered.join(parts.hint("merge"), numbered.doc_id.eqNullSafe(parts.d) & numbered.source.eqNullSafe(parts.s) & (numbered.n == parts.n) & (numbered.nth == parts.nth))
+    parts = taken.groupBy("row", "copy", "at", "size").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("parts"), F.sum("n_words").alias("words"))
+    parts = parts.select("row", "parts", (F.col("words") == F.col("size")).alias("whole"))
+    # rows that repeat are alike and have places of their own in the stream: one of them gives the text for all
+    texts = docs.withColumn("row", row_name()).dropDuplicates(["row"])
+    joined = texts.join(parts.hint("merge"), "row")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     chosen = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
     out = joined.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(chosen))
-    kept = [F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c != "source"]
-    return out.select(*kept, numbered.source).select(*docs.columns)
+    return out.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from .flac import op7_flac_media
 from .html_extract import op9_html_main_text
 from .language_id import op2_language_id
 from .mixing import op6_mix_sources
+from .near_dedup import op4_near_dedup
 from .token_files import op10_token_files
 from .warc import op1_warc
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
+    "op4_near_dedup": op4_near_dedup,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_mix_sources": op6_mix_sources,
     "op7_flac_media": op7_flac_media,
