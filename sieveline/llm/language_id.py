@@ -107,9 +107,18 @@ def fit_counts(langs: list[str], counts: np.ndarray, clusters: int = 4, slack: f
 
 def fit(labelled: DataFrame, per_language: int = 1000, clusters: int = 4) -> Model:
     """Fit on a bounded sample of rows (doc_id, text, lang) with a language."""
-    names = labelled.where(F.col("lang").isNotNull()).select("lang", F.xxhash64(F.lit(2), "doc_id").alias("h"))
-    first = names.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
-    bounds = first.groupBy("lang").agg(F.max("h").alias("h")).collect()  # one row per language
+    known = labelled.where(F.col("lang").isNotNull())
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+
+    # Hashes are even, so the lowest `share` of them holds some four times as many rows as are wanted; the
+    # exact bound is then looked up among those few, whatever a language's part of the corpus is.
+    first = F.lit(None).cast("bigint")
+    for row in sizes:
+        share = min(1.0, 4 * per_language / row["n"])
+        first = F.when(F.col("lang") == row["lang"], F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))).otherwise(first)
+    hashed = known.select("lang", F.xxhash64(F.lit(2), "doc_id").alias("h")).where(F.col("h") <= first)
+    ranked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
+    bounds = ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()
 
     chosen = F.lit(False)
     for row in bounds:
