@@ -92,7 +92,7 @@ def capped_sets(joined: DataFrame, keys: list[str], most: int = 100) -> DataFram
 
 def location(found: DataFrame) -> DataFrame:
     """+ start_column and end_column (bytes, from 1, inclusive) of the value's first place in its line."""
-    ahead = F.octet_length(F.substring_index("line", F.col("value"), 1)).cast("bigint")
+    ahead = F.octet_length(F.substring("line", F.lit(1), F.instr("line", F.col("value")) - 1)).cast("bigint")
     return found.withColumn("start_column", ahead + 1).withColumn("end_column", ahead + F.octet_length("value"))
 
 
