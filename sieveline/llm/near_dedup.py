@@ -10,9 +10,10 @@ shingle of the corpus twice.
    Gamma(2, 1), b uniform; the shingle with the least c / (y e^r) and its step t), hashed to one key a band,
    and a digest of the weighted set. Documents with equal sets form a class at once, with one representative.
 2. Representatives that share a band key are compared with the smallest of them by exact weighted Jaccard
-   similarity of their whole sets. Those that differ from it go on to the next round without it, until no key
-   is shared: no cap, and no pairs among the members of a bucket. At similarity s a pair shares a key with
-   probability 1 - (1 - s^ROWS)^BANDS: 0.9997 at 0.8.
+   similarity of their whole sets. In buckets where all are alike to it, that settles the bucket. In others, all
+   members go on: prefix filtering finds every pair of 0.8 or more that would join two components, in blocks of
+   BLOCK members (each pair of blocks is a task, so no bucket is too large for one), without cap. At similarity
+   s a pair shares a key with probability 1 - (1 - s^ROWS)^BANDS: 0.9997 at 0.8.
 3. Pairs of 0.8 or more are links; groups are the connected components of links and classes.
 
 Sets are packed only for documents that share a key, and are joined to the pairs by doc_id, first the member
@@ -37,6 +38,7 @@ from .common import arrow_map, binary_rows, discard, spans, stage, table
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 8, 2, 0.8
 DF_BITS = 18
+BLOCK = 1000  # members of a bucket that are compared in one task, with those of one other block
 _STEP = 1_000_000  # bytes a kernel step takes
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CHAR = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -231,31 +233,96 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(arrow_map(kernel), "a bigint, b bigint, similarity double")
 
 
+def bucket_links(matched: np.ndarray, sets: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of members, by position, that link what `matched` (one component already) doesn't, by prefix filtering.
+
+    Shingles are ordered by how few members have them. If two sets are alike enough, the first shingle they share
+    stands in the prefix of both, where what follows still weighs `threshold` of the whole; only such pairs are
+    compared, so members that share a common passage and no more are not. Pairs inside one component are skipped.
+    """
+    n = len(sets)
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    same = np.flatnonzero(matched).tolist()
+    for x in same:
+        root[x] = same[0]
+    size = np.fromiter(map(len, sets), np.int64, n)
+    total = np.array([w.sum(dtype=np.float64) for w in weights])
+    owner = np.repeat(np.arange(n), size)
+    flat, weight = np.concatenate(sets), np.concatenate(weights).astype(np.float64)
+    _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((name, count[name], owner))
+    owner, name, weight = owner[order], name[order], weight[order]
+    before = np.cumsum(weight) - weight
+    rest = total[owner] - (before - before[np.repeat(np.cumsum(size) - size, size)])
+    use = np.flatnonzero((rest >= threshold * total[owner] * (1 - 1e-6)) & (count[name] > 1))
+    use = use[np.argsort(name[use], kind="stable")]
+    name, owner = name[use], owner[use].tolist()
+    cuts = [0, *(np.flatnonzero(np.diff(name)) + 1).tolist(), len(owner)]
+    out, tried = [], set()
+    for c, d in zip(cuts, cuts[1:]):
+        members = owner[c:d]
+        if d - c < 2 or len({find(x) for x in members}) < 2:
+            continue
+        for i, x in enumerate(members):
+            for y in members[:i]:
+                if (y, x) in tried or find(x) == find(y):
+                    continue
+                tried.add((y, x))
+                if min(total[x], total[y]) < threshold * max(total[x], total[y]):
+                    continue
+                if weighted_jaccard(sets[y], weights[y], sets[x], weights[x]) >= threshold:
+                    out.append((y, x))
+                    root[find(x)] = find(y)
+    return out
+
+
 def links(docs: DataFrame, signatures_of: DataFrame, idf, key: str, text: str, threshold: float) -> DataFrame | None:
-    """(a, b): pairs of representatives whose similarity is `threshold` or more; a < b. None if there are none."""
+    """(a, b): pairs of representatives whose similarity is `threshold` or more. None if no key is shared."""
     heads = signatures_of.where("id is not null and n_shingles > 0").groupBy("whole").agg(F.min(F.struct("id", "bands")).alias("h")).select("h.*").groupBy("id").agg(F.max("bands").alias("bands"))
-    keyed = heads.select("id", F.posexplode("bands").alias("band", "key"))
-    keyed = stage(keyed, "bands")
-    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").drop("n")
-    live = stage(keyed.join(stage(shared, "buckets"), ["band", "key"]), "shared")
+    keyed = stage(heads.select("id", F.posexplode("bands").alias("band", "key")), "bands")
+    met = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    # the same members often meet in several bands: once is enough
+    once = met.groupBy("n", "a", "members").agg(F.min(F.struct("band", "key")).alias("k")).select("k.*", "n", "a")
+    live = stage(keyed.join(stage(once, "buckets"), ["band", "key"]), "shared")
     discard(keyed)
     if not live.take(1):
         return None
     sets = stage(packed(docs, live.select("id").distinct(), idf, key, text), "sets")
-    found = None
-    while True:
-        pairs = live.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-        checked = stage(similarities(pairs, sets), "pairs")
-        new = checked.where(F.col("similarity") >= threshold).select("a", "b")
-        found = new if found is None else found.unionByName(new)
-        apart = checked.where(F.col("similarity") < threshold)
-        left = live.join(apart.select("a", F.col("b").alias("id")), ["a", "id"]).select("band", "key", "id")
-        left = stage(left, "left")
-        again = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").drop("n")
-        again = stage(again, "buckets")
-        if not again.take(1):
-            return found
-        live = stage(left.join(again, ["band", "key"]), "shared")
+    pairs = live.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    checked = stage(similarities(pairs, sets), "pairs")
+    found = checked.where(F.col("similarity") >= threshold).select("a", "b")
+    apart = stage(checked.where(F.col("similarity") < threshold).select("a", F.col("b").alias("id"), F.lit(True).alias("apart")), "apart")
+    if not apart.take(1):
+        return found
+    marked = live.join(apart, ["a", "id"], "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    marked = stage(marked, "marked")
+    mixed_buckets = stage(marked.where("apart").groupBy("band", "key").agg(F.count(F.lit(1)).alias("n_apart")), "mixed")
+    rows = marked.join(mixed_buckets, ["band", "key"]).select("band", "key", "n", "id", "apart")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "apart")
+    # a pair of blocks that hold nothing but members alike to the head says nothing new
+    worth = dealt.where("apart").select("band", "key", "i", "j").distinct()
+    dealt = dealt.join(stage(worth, "blocks"), ["band", "key", "i", "j"]).join(sets, "id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids = group["id"].to_pylist()
+        shingle = [np.frombuffer(x, "<u4") for x in group["shingles"].to_pylist()]
+        weight = [np.frombuffer(x, "<f4") for x in group["weights"].to_pylist()]
+        new = bucket_links(~np.array(group["apart"].to_pylist()), shingle, weight, threshold)
+        return pa.table({"a": pa.array([ids[x] for x, _ in new], pa.int64()), "b": pa.array([ids[y] for _, y in new], pa.int64())})
+
+    more = dealt.groupBy("band", "key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return found.unionByName(stage(more.distinct(), "links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
