@@ -16,8 +16,9 @@ shingle of the corpus twice.
    s a pair shares a key with probability 1 - (1 - s^ROWS)^BANDS: 0.9997 at 0.8.
 3. Pairs of 0.8 or more are links; groups are the connected components of links and classes.
 
-Sets are packed only for documents that share a key, and are joined to the pairs by doc_id, first the member
-(at most one pair for each of its bands), then the representative; the join splits hot representatives.
+Sets are packed only for documents that share a key: a bitmap of 2**FILTER_BITS bits, a fixed size, keeps most other
+texts out of the shuffle, and the exact semi join after it drops the rest. Sets are joined to the pairs by doc_id,
+first the member (at most one pair for each of its bands), then the representative; the join splits hot ones.
 
 Results for edge cases: null texts and texts without a word are alone, each row a group; rows that repeat a
 doc_id are one document (equal texts then, or the one with the larger digest counts for comparison); a null
@@ -38,6 +39,7 @@ from .common import arrow_map, binary_rows, discard, spans, stage, table
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 8, 2, 0.8
 DF_BITS = 18
+FILTER_BITS = 26  # of the bitmap of doc_ids whose sets are needed: 8 MB, whatever the corpus is
 BLOCK = 1000  # members of a bucket that are compared in one task, with those of one other block
 _STEP = 1_000_000  # bytes a kernel step takes
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -196,6 +198,23 @@ def signed(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("binary").alias("text")).mapInArrow(arrow_map(kernel), "id bigint, n_shingles bigint, whole bigint, bands array<bigint>")
 
 
+def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) whose id is in `ids`, and some more: those whose hash meets a set bit of the bitmap."""
+    shift = 64 - (FILTER_BITS - 6)
+    hashed = ids.select(F.xxhash64("id").alias("h"))
+    found = hashed.groupBy(F.expr(f"cast(shiftrightunsigned(h, {shift}) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    sent = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def kernel(batch):
+        h = batch.column(2).to_numpy().view(np.uint64)
+        hit = sent.value[(h >> np.uint64(shift)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit.astype(bool))) for c in batch.columns[:2]], names=["id", "text"])
+
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(arrow_map(kernel), "id bigint, text binary")
+
+
 def packed(docs: DataFrame, ids: DataFrame, idf, key: str, text: str) -> DataFrame:
     """(id, shingles, weights) of the documents of `ids`: 32 bits of each shingle, sorted, and float weights."""
 
@@ -207,7 +226,8 @@ def packed(docs: DataFrame, ids: DataFrame, idf, key: str, text: str) -> DataFra
             short = (shingle >> np.uint64(32)).astype("<u4")  # sorted as the shingles are
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array([x[c:d].tobytes() for c, d in zip(cut, cut[1:])], pa.binary()) for x in (short, weight.astype("<f4")))], names=["id", "shingles", "weights"])
 
-    rows = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("binary").alias("text")).join(ids, "id", "left_semi")
+    texts = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("binary").alias("text"))
+    rows = maybe_in(texts, ids).join(ids, "id", "left_semi")
     return rows.mapInArrow(arrow_map(kernel), "id bigint, shingles binary, weights binary").groupBy("id").agg(F.max(F.struct("shingles", "weights")).alias("s")).select("id", "s.shingles", "s.weights")
 
 
