@@ -133,11 +133,13 @@ def fit(labelled: DataFrame, per_language: int = 1000, clusters: int = 4) -> Mod
 
     sample = labelled.where(chosen & F.col("text").isNotNull()).select("lang", "text").mapInArrow(arrow_map(kernel), "lang string, at array<int>, n array<int>")
     found = sample.toArrow().sort_by([("lang", "ascending")])
-    counts = np.zeros((found.num_rows, DIMS), np.int32)
-    for k, (at, n) in enumerate(zip(found["at"].to_pylist(), found["n"].to_pylist())):
-        counts[k, at] = n
-    keep = counts.sum(1) > 0
-    return fit_counts([x for x, k in zip(found["lang"].to_pylist(), keep) if k], counts[keep], clusters)
+    at, n = (found[c].combine_chunks() for c in ("at", "n"))
+    size = at.value_lengths().to_numpy()
+    keep = size > 0
+    rows = np.repeat(np.cumsum(keep) - 1, size)
+    counts = np.zeros((int(keep.sum()), DIMS), np.uint16)  # counts beyond that weigh the same
+    counts[rows, at.flatten().to_numpy()] = np.minimum(n.flatten().to_numpy(), len(_LOG) - 1)
+    return fit_counts([x for x, k in zip(found["lang"].to_pylist(), keep) if k], counts, clusters)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
