@@ -1,10 +1,11 @@
 """Near-duplicate groups by improved consistent weighted sampling (operator 4).
 
 Shingles are five words (ASCII letters and digits, lower-cased, and all bytes beyond ASCII; a shorter text is
-one shingle). A shingle's weight is its count times its inverse document frequency, the mean over its words of
-log((1 + N) / (1 + df)) + 1. Document frequencies are exact counts over all documents for 2**18 hashed words:
-that table has a fixed size and goes to every task; frequencies of the shingles themselves would move every
-shingle of the corpus twice.
+one shingle). A shingle's weight is its count times its inverse document frequency log((1 + N) / (1 + df)) + 1.
+df is the exact number of documents that have the shingle: texts are packed into chunks of CHUNK bytes, each chunk
+sends its distinct shingles with their counts to buckets by hash, and gets back those that two documents or more
+have; all others have df 1. (by="words" takes the mean over the shingle's words instead, counted in 2**18 hashed
+words; no query uses it.)
 
 1. One pass signs each document: BANDS * ROWS samples of improved consistent weighted sampling (r and c from
    Gamma(2, 1), b uniform; the shingle with the least c / (y e^r) and its step t), hashed to one key a band,
@@ -17,7 +18,7 @@ shingle of the corpus twice.
 3. Pairs of 0.8 or more are links; groups are the connected components of links and classes.
 
 Sets are packed only for documents that share a key: a bitmap of 2**FILTER_BITS bits, a fixed size, keeps most other
-texts out of the shuffle, and the exact semi join after it drops the rest. Sets are joined to the pairs by doc_id,
+texts out, and an exact semi join drops the rest. Sets are joined to the pairs by doc_id,
 first the member (at most one pair for each of its bands), then the representative; the join splits hot ones.
 
 Results for edge cases: null texts and texts without a word are alone, each row a group; rows that repeat a
@@ -32,6 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ WORDS, BANDS, ROWS, SIMILAR = 5, 8, 2, 0.8
 DF_BITS = 18
 FILTER_BITS = 26  # of the bitmap of doc_ids whose sets are needed: 8 MB, whatever the corpus is
 BLOCK = 1000  # members of a bucket that are compared in one task, with those of one other block
+CHUNK = 2_000_000  # bytes of text in one row of packed documents; a longer text is a row of its own
 _STEP = 1_000_000  # bytes a kernel step takes
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CHAR = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,23 +84,24 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(starts, offsets)
 
 
-def shingles(hashes: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle, weight), sorted by document and shingle, each shingle once."""
+def shingles(hashes: np.ndarray, bounds: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle, weight), sorted by document and shingle, each once. Without idf of words, weights are counts."""
     count = np.diff(bounds)
     n = np.where(count >= WORDS, count - WORDS + 1, np.minimum(count, 1))
     doc = np.repeat(np.arange(len(n)), n)
     at = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     stop = np.repeat(bounds[1:], n)
-    of_word = idf[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+    of_word = None if idf is None else idf[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)]
     key, weight, words = np.zeros(len(at), np.uint64), np.zeros(len(at), np.float32), np.zeros(len(at), np.float32)
     for k in range(WORDS):
         here = np.minimum(at + k, stop - 1)
         real = at + k < stop
         key = key * _PRIME + np.where(real, hashes[here], np.uint64(k))
-        weight += np.where(real, of_word[here], 0)
-        words += real
+        if of_word is not None:
+            weight += np.where(real, of_word[here], 0)
+            words += real
     key = mixed(key)
-    weight /= np.maximum(words, 1)
+    weight = np.ones(len(at), np.float32) if of_word is None else weight / np.maximum(words, 1)
     order = np.lexsort((key, doc))
     doc, key, weight = doc[order], key[order], weight[order]
     new = np.ones(len(doc), bool)
@@ -178,28 +182,109 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     return int(out[n]), out[:n]
 
 
-def signed(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
+def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(chunk, n, bytes, ids, texts): all documents, packed; staged, so that a chunk's number is told once."""
+
+    def run(batches):
+        part, k = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ids, texts = batch.columns
+            size = np.diff(binary_rows(texts)[1])
+            for a, b in spans(size, CHUNK):
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), c[a:b]) for c in (ids, texts)]
+                yield pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([b - a]), pa.array([int(size[a:b].sum())]), *lists], names=["chunk", "n", "bytes", "ids", "texts"])
+                k += 1
+
+    rows = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("binary").alias("text"))
+    return stage(rows.mapInArrow(run, "chunk bigint, n bigint, bytes bigint, ids array<bigint>, texts array<binary>"), "chunks")
+
+
+def shared_shingles(chunks: DataFrame, n_bytes: int) -> DataFrame:
+    """(chunk, known): the shingles of each chunk that two documents of all or more have, with their number."""
+    bits = max(min(1024, n_bytes >> 16), n_bytes // 24_000_000).bit_length()  # of the number of buckets
+
+    def ask(batch):
+        for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found, n = np.unique(shingles(*word_hashes(*binary_rows(texts.values)))[1], return_counts=True)
+            bucket, first = np.unique((found >> np.uint64(1)) >> np.uint64(63 - bits), return_index=True)
+            cuts = list(zip(first, [*first[1:], len(found)]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array([chunk] * len(cuts), pa.int64()), *(pa.array([x[c:d].tobytes() for c, d in cuts], pa.binary()) for x in (found, n.astype("<i8")))], names=["bucket", "chunk", "shingles", "n"])
+
+    def count(group: pa.Table) -> pa.Table:
+        found, n = (np.concatenate([np.frombuffer(x, kind) for x in group[c].to_pylist()]) for c, kind in (("shingles", "<u8"), ("n", "<i8")))
+        size = np.array([len(x) // 8 for x in group["shingles"].to_pylist()])
+        order = np.argsort(found, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(found[order]) > 0)))
+        df = np.empty(len(found), np.int64)
+        df[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(found))))
+        often = df > 1
+        cut = np.concatenate(([0], np.cumsum(often)))[np.concatenate(([0], np.cumsum(size)))].tolist()
+        some = [k for k in range(len(size)) if cut[k] < cut[k + 1]]
+        return pa.table({"chunk": group["chunk"].take(pa.array(some, pa.int64())), **{c: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()) for c, x in (("shingles", found[often]), ("df", df[often].astype("<i8")))}})
+
+    asked = chunks.select("chunk", "texts").mapInArrow(arrow_map(ask), "bucket bigint, chunk bigint, shingles binary, n binary")
+    told = stage(asked.groupBy("bucket").applyInArrow(count, "chunk bigint, shingles binary, df binary"), "frequencies")
+    return told.groupBy("chunk").agg(F.collect_list(F.struct("shingles", "df")).alias("known"))
+
+
+class Weights:
+    """What shingles weigh in a table of documents."""
+
+    def __init__(self, docs: DataFrame, chunks: DataFrame, text: str, by: str):
+        if by not in ("words", "shingles"):
+            raise ValueError(f"unknown weights: {by}")
+        self.known = self.idf = None
+        if by == "words":
+            self.n, df = document_frequencies(docs, text)
+            self.idf = docs.sparkSession.sparkContext.broadcast((np.log((1 + self.n) / (1 + df)) + 1).astype(np.float32))
+        else:
+            self.n, n_bytes = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+            self.known = shared_shingles(chunks, n_bytes)
+
+    def sets(self, chunks: DataFrame, kernel, schema: str) -> DataFrame:
+        """`kernel` over (ids, first row, last row, document, shingle, weight) of each step of the chunks."""
+        n, idf = self.n, self.idf
+        rows = chunks.select("ids", "texts") if self.known is None else chunks.join(self.known, "chunk", "left").select("ids", "texts", "known")
+
+        def run(batch):
+            for k, (ids, texts) in enumerate(zip(batch.column(0), batch.column(1))):
+                known, df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if idf is None and batch.column(2)[k].is_valid:
+                    told = batch.column(2)[k].values
+                    known, df = (np.frombuffer(b"".join(told.field(c).to_pylist()), kind) for c, kind in (("shingles", "<u8"), ("df", "<i8")))
+                    order = np.argsort(known)
+                    known, df = known[order], df[order]
+                known, weighs = np.append(known, np.uint64(0)), (np.log((1 + n) / (1 + np.append(df, 1))) + 1).astype(np.float32)
+                body, offsets = binary_rows(texts.values)
+                for a, b in spans(np.diff(offsets), _STEP):
+                    doc, shingle, weight = shingles(*word_hashes(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), None if idf is None else idf.value)
+                    if idf is None:
+                        at = np.searchsorted(known[:-1], shingle)
+                        weight *= np.where(known[at] == shingle, weighs[at], weighs[-1])  # of one document alone: df 1
+                    yield from kernel(ids.values, a, b, doc, shingle, weight)
+
+        return rows.mapInArrow(arrow_map(run), schema)
+
+
+def signed(chunks: DataFrame, weights: Weights) -> DataFrame:
     """(id, n_shingles, whole, bands): `whole` is a digest of the weighted set."""
 
-    def kernel(batch):
-        for a, b, body, offsets in _steps(batch, 1):
-            hashes, bounds = word_hashes(body, offsets)
-            doc, shingle, weight = shingles(hashes, bounds, idf.value)
-            n = np.bincount(doc, minlength=b - a)
-            whole = np.zeros(b - a, np.uint64)
-            if len(doc):
-                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                whole[doc[first]] = np.add.reduceat(mixed(shingle ^ weight.view(np.uint32).astype(np.uint64) * _PRIME), first)
-            whole = mixed(whole + n.astype(np.uint64)).view(np.int64)
-            bands = signatures(doc, shingle, weight, b - a).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(whole), lists], names=["id", "n_shingles", "whole", "bands"])
-
-    return docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("binary").alias("text")).mapInArrow(arrow_map(kernel), "id bigint, n_shingles bigint, whole bigint, bands array<bigint>")
-
-
-def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, text) whose id is in `ids`, and some more: those whose hash meets a set bit of the bitmap."""
+    def kernel(ids, a, b, doc, shingle, weight):
+        n = np.bincount(doc, minlength=b - a)
+        whole = np.zeros(b - a, np.uint64)
+        if len(doc):
+            first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            whole[doc[first]] = np.add.reduceat(mixed(shingle ^ weight.view(np.uint32).astype(np.uint64) * _PRIME), first)
+        whole = mixed(whole + n.astype(np.uint64)).view(np.int64)
+        bands = signatures(doc, shingle, weight, b - a).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(n, pa.int64()), pa.array(whole), lists], names=["id", "n_shingles", "whole", "bands"])
+
+    return weights.sets(chunks, kernel, "id bigint, n_shingles bigint, whole bigint, bands array<bigint>")
+
+
+def maybe_in(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks with the documents whose id is in `ids`, and some more: those whose hash meets a set bit of the bitmap."""
     shift = 64 - (FILTER_BITS - 6)
     hashed = ids.select(F.xxhash64("id").alias("h"))
     found = hashed.groupBy(F.expr(f"cast(shiftrightunsigned(h, {shift}) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
@@ -208,27 +293,27 @@ def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
     sent = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def kernel(batch):
-        h = batch.column(2).to_numpy().view(np.uint64)
-        hit = sent.value[(h >> np.uint64(shift)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit.astype(bool))) for c in batch.columns[:2]], names=["id", "text"])
+        for chunk, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+            h = row[2].values.to_numpy().view(np.uint64)
+            hit = pa.array((sent.value[(h >> np.uint64(shift)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool))
+            kept = [x.values.filter(hit) for x in row[:2]]
+            if len(kept[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in kept)], names=["chunk", "ids", "texts"])
 
-    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(arrow_map(kernel), "id bigint, text binary")
+    rows = chunks.select("chunk", "ids", "texts", F.transform("ids", lambda x: F.xxhash64(x)).alias("h"))
+    return rows.mapInArrow(arrow_map(kernel), "chunk bigint, ids array<bigint>, texts array<binary>")
 
 
-def packed(docs: DataFrame, ids: DataFrame, idf, key: str, text: str) -> DataFrame:
+def packed(chunks: DataFrame, ids: DataFrame, weights: Weights) -> DataFrame:
     """(id, shingles, weights) of the documents of `ids`: 32 bits of each shingle, sorted, and float weights."""
 
-    def kernel(batch):
-        for a, b, body, offsets in _steps(batch, 1):
-            hashes, bounds = word_hashes(body, offsets)
-            doc, shingle, weight = shingles(hashes, bounds, idf.value)
-            cut = np.searchsorted(doc, np.arange(b - a + 1))
-            short = (shingle >> np.uint64(32)).astype("<u4")  # sorted as the shingles are
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array([x[c:d].tobytes() for c, d in zip(cut, cut[1:])], pa.binary()) for x in (short, weight.astype("<f4")))], names=["id", "shingles", "weights"])
+    def kernel(of, a, b, doc, shingle, weight):
+        cut = np.searchsorted(doc, np.arange(b - a + 1))
+        short = (shingle >> np.uint64(32)).astype("<u4")  # sorted as the shingles are
+        yield pa.RecordBatch.from_arrays([of[a:b], *(pa.array([x[c:d].tobytes() for c, d in zip(cut, cut[1:])], pa.binary()) for x in (short, weight.astype("<f4")))], names=["id", "shingles", "weights"])
 
-    texts = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("binary").alias("text"))
-    rows = maybe_in(texts, ids).join(ids, "id", "left_semi")
-    return rows.mapInArrow(arrow_map(kernel), "id bigint, shingles binary, weights binary").groupBy("id").agg(F.max(F.struct("shingles", "weights")).alias("s")).select("id", "s.shingles", "s.weights")
+    rows = weights.sets(maybe_in(chunks, ids), kernel, "id bigint, shingles binary, weights binary").join(ids, "id", "left_semi")
+    return rows.groupBy("id").agg(F.max(F.struct("shingles", "weights")).alias("s")).select("id", "s.shingles", "s.weights")
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -303,7 +388,7 @@ def bucket_links(matched: np.ndarray, sets: list[np.ndarray], weights: list[np.n
     return out
 
 
-def links(docs: DataFrame, signatures_of: DataFrame, idf, key: str, text: str, threshold: float) -> DataFrame | None:
+def links(chunks: DataFrame, signatures_of: DataFrame, weights_of: Weights, threshold: float) -> DataFrame | None:
     """(a, b): pairs of representatives whose similarity is `threshold` or more. None if no key is shared."""
     heads = signatures_of.where("id is not null and n_shingles > 0").groupBy("whole").agg(F.min(F.struct("id", "bands")).alias("h")).select("h.*").groupBy("id").agg(F.max("bands").alias("bands"))
     keyed = stage(heads.select("id", F.posexplode("bands").alias("band", "key")), "bands")
@@ -314,7 +399,7 @@ def links(docs: DataFrame, signatures_of: DataFrame, idf, key: str, text: str, t
     discard(keyed)
     if not live.take(1):
         return None
-    sets = stage(packed(docs, live.select("id").distinct(), idf, key, text), "sets")
+    sets = stage(packed(chunks, live.select("id").distinct(), weights_of), "sets")
     pairs = live.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     checked = stage(similarities(pairs, sets), "pairs")
     found = checked.where(F.col("similarity") >= threshold).select("a", "b")
@@ -370,13 +455,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """(key, group_id, group_size, kept) of each row: group_id is the smallest id of the group, whose document stays."""
-    spark = docs.sparkSession
-    n, df = document_frequencies(docs, text)
-    idf = spark.sparkContext.broadcast((np.log((1 + n) / (1 + df)) + 1).astype(np.float32))
-    sign = stage(signed(docs, idf, key, text), "signatures")
-    found = links(docs, sign, idf, key, text, threshold)
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR, by: str = "words") -> DataFrame:
+    """(key, group_id, group_size, kept) of each row: group_id is the smallest id of the group, whose document stays.
+
+    by: whose document frequencies weigh, those of "shingles" (as the queries do) or of "words".
+    """
+    chunks = chunked(docs, key, text)
+    weights = Weights(docs, chunks, text, by)
+    sign = stage(signed(chunks, weights), "signatures")
+    found = links(chunks, sign, weights, threshold)
+    discard(chunks)
     real = sign.where("id is not null and n_shingles > 0")
     classes = stage(real.groupBy("whole").agg(F.min("id").alias("head")), "classes")
     rows = real.select("id", "whole").join(classes, "whole").select("id", "head")
@@ -398,4 +486,4 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 over all of `documents`: five words, similarity 0.8 or more."""
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents"), by="shingles")

@@ -347,6 +347,47 @@ def test_op4_against_brute_force(spark):
     assert all(x.group_size == size[x.group_id] and x.kept == (k == x.group_id) for k, x in got.items())
 
 
+def shingle_groups(rows):
+    """As brute_groups, with the document frequencies of the shingles themselves."""
+    words = {k: t.split() for k, t in rows}
+    count = {k: Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) for k, ws in words.items() if ws}
+    df = Counter(s for c in count.values() for s in c)
+    sets = {k: {s: n * (math.log((1 + len(rows)) / (1 + df[s])) + 1) for s, n in c.items()} for k, c in count.items()}
+    root = {k: k for k, _ in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = sum(min(sets[a][s], sets[b][s]) for s in sets[a] if s in sets[b])
+            if both / (sum(sets[a].values()) + sum(sets[b].values()) - both) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k, _ in rows}
+
+
+def test_op4_weighs_shingles_by_their_own_frequencies(spark, tmp_path):
+    """A passage of rare-enough words in many documents weighs little; documents that share it and no more stay apart."""
+    import random
+
+    r = random.Random(11)
+    passage = " ".join(f"w{r.randrange(400)}" for _ in range(200))
+    rows = []
+    for g in range(90):
+        own = " ".join(f"w{r.randrange(400)}" for _ in range(18 if g % 3 == 0 else 120))
+        for c in range(r.choice((1, 1, 2))):
+            rows.append((len(rows), f"{passage} {own}" + " end" * c if g % 3 == 0 else own + " end" * c))
+    want = shingle_groups(rows)
+    assert want != brute_groups(rows) and len(set(want.values())) < len(rows)
+    helpers_rows = [(k, t, "en", "a", len(t)) for k, t in rows]
+    spark.createDataFrame(helpers_rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.group_id for x in run(spark, str(tmp_path), "op4_near_dedup")} == want
+
+
 def test_op4_edges(spark, small):
     folder, rows = small
     got = run(spark, folder, "op4_near_dedup")
