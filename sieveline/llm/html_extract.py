@@ -10,10 +10,11 @@ its content features. Importance, from counts over all pages of the host (m: pag
 Branches whose composite importance is at most THRESHOLD are removed from each page. A host with fewer than
 MIN_PAGES pages says too little; what HTML itself says is always used: nav, aside, footer, form, script and the
 like, and ids or classes that name menus, adverts, notices, comments and so on, are presentation of no
-importance. If a page marks its main content (article, main, role=main), only that is read, and inside it
-removal goes by marks, not by the site's statistics: copies of an article are no template.
+importance. If a page marks its main content (article, main, role=main), only that is read, and the tree judges
+the branches inside it too. Pages of a host whose text by marks alone is the same count once: copies of an article
+are no template (near copies count each). Where the tree would leave nothing of the marked content, it stays.
 
-Counts are summed per (host, path, feature) before and after one shuffle, so a host with a third of all pages
+What a page has is packed and goes once to its (host, text). Counts are then summed per (host, path, feature) before and after one shuffle, so a host with a third of all pages
 is no single task; what is gathered per host is its distinct paths. Both passes read pages where they lie.
 
 Results for edge cases: null and empty html give the empty text; markup that is not closed or nested wrongly
@@ -28,6 +29,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -152,18 +154,20 @@ class Page:
             p, tag = self.parents[k], self.tags[k]
             inside[k] = inside[p] or self.main[k]
             marked = tag in NOISE_TAGS or tag == "header" and not inside[k] or bool(self.words[k] & NOISE_WORDS) or bool(self.words[k] & {"header"}) and not inside[k]
-            judged = paths is not None and not inside[k] and paths[k] in low
+            judged = paths is not None and paths[k] in low
             out[k] = out[p] or tag not in ("html", "body") and not holds[k] and not self.main[k] and (marked or judged)
         return out
 
     def text(self, low: frozenset[int] = frozenset()) -> str:
         """The main text."""
         noise = self.noise(low)
+        return self._marked(noise) or low and self._marked(self.noise()) or self._blocks([not x for x in noise])
+
+    def _marked(self, noise: list[bool]) -> str:
         inside = [False] * len(self.tags)
         for k in range(1, len(self.tags)):
             inside[k] = not noise[k] and (self.main[k] or inside[self.parents[k]])
-        chosen = self._blocks(inside)
-        return chosen or self._blocks([not x for x in noise])
+        return self._blocks(inside)
 
     def _blocks(self, use: list[bool]) -> str:
         blocks, held = [], []
@@ -208,20 +212,33 @@ def host_of(url: Column) -> Column:
 
 
 def tree_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, parent, kind, feature, n): pages of the host that have the feature."""
+    """(host, path, parent, kind, feature, n): distinct texts of the host whose page has the feature."""
+
+    def pack(batch):
+        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            page = Page(source or "")
+            features = np.array(sorted(page.features()), "<i8").reshape(-1, 4)
+            yield host, _digest(page.text()), features.T.tobytes()
+
+    def packed(batch):
+        rows = list(pack(batch))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["host", "content", "features"])
 
     def run(batches):
         for batch in batches:
             total: Counter = Counter()
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total.update((host, *f) for f in Page(source or "").features())
+            for host, features in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total.update((host, *f) for f in np.frombuffer(features, "<i8").reshape(4, -1).T.tolist())
             if total:
                 columns = list(zip(*total))
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int8(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(list(total.values()), pa.int64())], names=["host", "path", "parent", "kind", "feature", "n"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path bigint, parent bigint, kind tinyint, feature bigint, n bigint")
-    return rows.groupBy("host", "path", "parent", "kind", "feature").agg(F.sum("n").alias("n"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(arrow_map(packed), "host string, content bigint, features binary")
+    once = rows.groupBy("host", "content").agg(F.max("features").alias("features")).select("host", "features")
+    counts = once.mapInArrow(run, "host string, path bigint, parent bigint, kind tinyint, feature bigint, n bigint")
+    return counts.groupBy("host", "path", "parent", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
 def importance(counts: DataFrame) -> DataFrame:

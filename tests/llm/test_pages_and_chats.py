@@ -101,6 +101,18 @@ def test_style_tree_removes_what_all_pages_share(spark, tmp_path):
     assert got[101].text == "" and got[None].text == "y"
 
 
+def test_style_tree_judges_inside_marked_content(spark, tmp_path):
+    page = lambda k: f"<body><article><h1>Title {k}</h1><div class='box'><span>Same words</span></div><p>Story {k} is its own.</p></article></body>"
+    copy = "<body><article><h1>Copied</h1><section><p>An article that was posted often.</p></section></article></body>"
+    rows = [(k, f"http://site.example/{k}", page(k)) for k in range(30)] + [(100 + k, f"http://copies.example/{k}", copy) for k in range(30)]
+    rows += [(200, "http://site.example/box", "<body><article><div class='box'><span>Same words</span></div></article></body>")]
+    helpers.pages(spark, str(tmp_path), rows)
+    got = {r.page_id: r.text for r in queries.QUERIES["op9_html_main_text"](spark, str(tmp_path)).collect()}
+    assert all(got[k] == f"Title {k} Story {k} is its own." for k in range(30))
+    assert all(got[100 + k] == "Copied An article that was posted often." for k in range(30))  # copies are no template
+    assert got[200] == "Same words"  # nothing else is marked
+
+
 CHATS = [
     (1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "a\nb<\\|x|>"), (1, 1, "assistant", "a\nb<\\|x|>"), (2, 5, "assistant", None), (2, None, "user", "first"),
     (None, 1, "user", "<"), (None, 2, "assistant", "<<|im_start|>😀"), (3, 1, None, "no role"), (4, 1, "odd\nrole\\n", ""), (4, 2, "assistant", "x" * 100_000),
