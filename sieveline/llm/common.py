@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Code points (or bytes) that one step of a vectorised kernel takes; a longer text is a step of its own.
 STEP = 3_000_000
+#: Where stages go if spark.checkpoint.dir is unset and the driver is the only process.
+LOCAL_DIR = "/tmp/checkpoints/sieveline"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (as in tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, it is LOCAL_DIR in local mode (as in tests), else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/checkpoints/sieveline"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = LOCAL_DIR
     return path.rstrip("/")
 
 
@@ -92,6 +96,13 @@ def binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def text_steps(column: pa.Array, step: int = 1 << 18) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, last row, texts) of a string column by steps of about `step` bytes; nulls are empty."""
+    lengths = np.diff(binary_rows(column)[1])
+    for a, b in spans(lengths, step):
+        yield a, b, [x or "" for x in column[a:b].to_pylist()]
+
+
 def arrow_map(kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     """A mapInArrow function that applies `kernel` to each batch."""
 

@@ -10,7 +10,7 @@ the code lengths are a second, small table beside them.
 Reading: all segments between checkpoints are decoded in step, one table lookup per id and segment.
 
 Results for edge cases: null and empty texts have the end id alone; rows that repeat a doc_id are documents
-of their own, ordered by text; a null doc_id comes first; an empty table gives no rows; columns besides
+of their own, ordered by a hash of the text; a null doc_id comes first; an empty table gives no rows; columns besides
 doc_id and text are ignored. A document is never split: a very long one is a block of its own.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_automaton import byte_signs, default_tokenizer
-from .common import arrow_map, binary_rows, discard, new_path, spans, stage, table
+from .common import arrow_map, binary_rows, discard, new_path, spans, stage, table, text_steps
 from .words import BatchEncoder
 
 MAX_BITS = 20
@@ -44,8 +45,10 @@ def library_encoder(path: str) -> BatchEncoder:
     signs = str.maketrans({chr(b): s for s, b in byte_signs().items()})
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
-    def encode_words(words: list[str]) -> list[list[int]]:
-        return [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(signs))] for w in words]
+    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(signs))] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 
     return BatchEncoder(encode_words, special)
 
@@ -147,9 +150,8 @@ def tokenized(docs: DataFrame, tokenizer: str, wide: bool) -> DataFrame:
 
         shard, local = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in spans(np.fromiter(map(len, texts), np.int64, len(texts))):
-                ids, n = library_encoder(tokenizer).encode(texts[a:b])
+            for a, b, texts in text_steps(batch.column(1)):
+                ids, n = library_encoder(tokenizer).encode(texts)
                 stops = np.cumsum(n)
                 ids = np.insert(ids, stops, END_ID).astype("<u4" if wide else "<u2")
                 n = n + 1
@@ -158,7 +160,10 @@ def tokenized(docs: DataFrame, tokenizer: str, wide: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([shard] * (b - a), pa.int32()), pa.array(local + stops - n, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "shard", "local", "n", "ids"])
                 local += int(stops[-1])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # by text too, by a hash of it first: rows that share one doc_id, or have none, need not go to one task
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text")]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     return ordered.mapInArrow(run, "doc_id bigint, shard int, local bigint, n bigint, ids binary")
 
 
@@ -232,7 +237,7 @@ def _read(spark: SparkSession, path: str, column: str, digest, kind) -> DataFram
     def kernel(batch):
         coder = _coder(lengths)
         counts = batch.column("n_tokens").to_numpy()
-        for a, b in spans(counts, 8 * BLOCK_TOKENS):
+        for a, b in spans(counts, 2 * BLOCK_TOKENS):
             rows = batch.slice(a, b - a)
             payloads = [np.frombuffer(x, np.uint8) for x in rows.column("payload").to_pylist()]
             decoded = coder.decode(payloads, rows.column("checkpoints").to_pylist(), counts[a:b].tolist())

@@ -66,7 +66,7 @@ def test_automaton_is_the_explicit_one_and_encodes_as_merging_does():
                 merges.append((u, v, len(labels)))
                 labels[len(labels)] = labels[u] + labels[v]
         made, after = bpe_automaton.Automaton(labels, merges, {}), bpe_automaton.explicit_automaton([0, 1, 2], merges)
-        assert all(made.arc(x, y) == (y in after[x] and bool(after[y] or y < 3)) for x in labels for y in labels if x not in made.dead)
+        assert all(made.arc(x, y) == (y in after[x]) for x in labels for y in labels if after[x])
         ranks = {(u, v): (k, w) for k, (u, v, w) in enumerate(merges)}
         for _ in range(30):
             word = bytes(r.choice(b"abc") for _ in range(r.randint(1, 14)))
@@ -79,7 +79,12 @@ def test_automaton_is_the_explicit_one_and_encodes_as_merging_does():
 
 def test_batches_agree_with_the_library(library):
     special = {"<|endoftext|>": 50256}
-    encoder = BatchEncoder(lambda ws: [x.ids for x in library.encode_batch(ws, add_special_tokens=False)], special, bits=4)  # a table that overflows
+
+    def ids_of(words):
+        ids = [x.ids for x in library.encode_batch(words, add_special_tokens=False)]
+        return np.array([x for y in ids for x in y], np.int32), np.array([len(x) for x in ids], np.int64)
+
+    encoder = BatchEncoder(ids_of, special, bits=4, step=16)  # a table that overflows, and texts in pieces
     texts = ["", " ", "a  b\n\n c", "it's 'tis we'll\t x", "<|endoftext|>", "x<|endoftext|>y '", "日本語 １２３ ½   x", "end   ", "\r\n\r\nhi  ", "é'S 's", "'", "　  a"] * 3
     for _ in range(2):
         ids, n = encoder.encode(texts)
@@ -87,11 +92,48 @@ def test_batches_agree_with_the_library(library):
         assert [ids[e - k : e].tolist() for e, k in zip(stops, n)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_words_that_share_a_hash_keep_their_own_ids(spark, tmp_path, library):
+    """The Thue-Morse word and its complement have equal polynomial hashes mod 2**64 from 1024 letters on."""
+    texts = [t for n in (128, 1024, 2048, 4096) for t in (thue_morse(n), thue_morse(n).translate({97: "b", 98: "a"}))]
+    for encoder in (bpe_automaton.batch_encoder(bpe_automaton.default_tokenizer()), token_files.library_encoder(bpe_automaton.default_tokenizer())):
+        for some in (texts, texts[::-1], [" ".join(texts)], texts[2:3], texts[3:4]):
+            ids, n = encoder.encode(some)
+            stops = np.cumsum(n)
+            assert [ids[e - k : e].tolist() for e, k in zip(stops, n)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_all_hashes_equal(library, monkeypatch):
+    from sieveline.llm import words
+
+    monkeypatch.setattr(words, "hashes", lambda cp, starts, length: np.full(len(starts), 1 << 60, np.uint64))
+    automaton = bpe_automaton.load(bpe_automaton.default_tokenizer())
+    encoder = BatchEncoder(automaton.encode_words, automaton.special)
+    for text in ("one two one three tow two", "six two one", "two"):
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_and_words(library):
+    import random
+
+    r = random.Random(2)
+    automaton = bpe_automaton.load(bpe_automaton.default_tokenizer())
+    encoder = BatchEncoder(automaton.encode_words, automaton.special, step=1000)
+    text = "".join(r.choice(["word ", "été", "  ", "\n\n ", "日本語", "x" * r.randrange(90), " 12345", "'s ", "aAbB" * r.randrange(600), " "]) for _ in range(3000))
+    ids, n = encoder.encode([text, "", text[::-1]])
+    assert ids[: n[0]].tolist() == library.encode(text, add_special_tokens=False).ids and ids[n[0] :].tolist() == library.encode(text[::-1], add_special_tokens=False).ids
+    word = "".join(r.choice("abcdeé") for _ in range(5000))
+    assert automaton.encode_long(word.encode(), window=100) == library.encode(word, add_special_tokens=False).ids
+
+
 def test_op10(spark, small, library):
     folder, rows = small
     got = sorted(map(tuple, run(spark, folder, "op10_token_files")), key=lambda r: r[1])
     start, want = 0, []
-    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*library.encode(text or "").ids, 0]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
