@@ -188,6 +188,19 @@ def _known(keys, allowed, where: str) -> None:
         raise ConfigError(f"{where}: unknown key {sorted(unknown)[0]!r}")
 
 
+def rule_from(raw: dict, k: int = 0) -> Rule:
+    """A rule from its TOML table, the k-th."""
+    where = f"rule {raw.get('id', k)!r}"
+    _known(raw, _RULE, where)
+    fields = {_RULE[name]: value for name, value in raw.items()}
+    for c in fields.get("components", ()):
+        _known(c, _COMPONENT, f"{where}: component")
+    fields["components"] = tuple(Component(**c) for c in fields.get("components", ()))
+    fields["keywords"] = tuple(w.lower() for w in fields.get("keywords", ()))
+    fields["tags"] = tuple(fields.get("tags", ()))
+    return Rule(**{"id": "", **fields})
+
+
 def parse_config(text: str, folder: Path | None = None, depth: int = 0) -> Config:
     """A configuration from TOML. `extend` may go two levels deep; paths are relative to `folder`."""
     try:
@@ -195,17 +208,7 @@ def parse_config(text: str, folder: Path | None = None, depth: int = 0) -> Confi
     except tomllib.TOMLDecodeError as e:
         raise ConfigError(str(e)) from e
     _known(data, _TOP, "configuration")
-    rules = []
-    for k, raw in enumerate(data.get("rules", ())):
-        where = f"rule {raw.get('id', k)!r}"
-        _known(raw, _RULE, where)
-        fields = {_RULE[name]: value for name, value in raw.items()}
-        for c in fields.get("components", ()):
-            _known(c, _COMPONENT, f"{where}: component")
-        fields["components"] = tuple(Component(**c) for c in fields.get("components", ()))
-        fields["keywords"] = tuple(w.lower() for w in fields.get("keywords", ()))
-        fields["tags"] = tuple(fields.get("tags", ()))
-        rules.append(Rule(**{"id": "", **fields}))
+    rules = [rule_from(raw, k) for k, raw in enumerate(data.get("rules", ()))]
     own = Config(data.get("title", ""), data.get("description", ""), tuple(rules), data.get("prefilter", ""), data.get("filter", ""), data.get("minVersion", ""))
     extend = data.get("extend")
     if extend:

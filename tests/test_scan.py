@@ -125,6 +125,33 @@ def test_catalog_is_sound():
     assert not kernel.scan("nothing of that kind here, only words\n")
 
 
+def test_catalog_filters_by_entropy():
+    config = rules.default()
+    assert sum("entropy(" in r.filter for r in config.rules) >= 411
+    kernel = Kernel(config)
+    found = lambda raw: {f.rule.id for f in kernel.scan(raw)}
+    # all of these have the form of a token, and too few different signs
+    for rule_id, weak, strong in (
+        ("apify-api-token", "apify_api_" + "ab" * 18, "apify_api_aB3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xY2zA4"),
+        ("buildkite-user-access-token", "bkua_" + "ab" * 20, "bkua_0f1e2d3c4b5a69788796a5b4c3d2e1f0a9c8b7d6"),
+    ):
+        assert rule_id not in found(f"x {weak} y\n") and rule_id in found(f"x {strong} y\n"), rule_id
+
+
+def test_default_filters():
+    from sieveline.functions import dialect
+
+    hit = lambda patterns, value: any(dialect.python_regex(p)[0].search(value) for p in patterns)
+    for value in ("true", "TRUEish", "xfalsey12345", "is-null", "aaaa", "$1", "${12}", "${HOME}", "{{ .Values.key }}", "${{ secrets.TOKEN }}", "%APPDATA%", "%s", "%-d", "{}", "{12}", "@name@", "/Users/me/file x", "/etc/passwd"):
+        assert hit(rules.PLACEHOLDERS, value), value
+    for value in ("xtrue", "abab", "${Home}", "%a", "%k", "{{a", "{123}", "Zf3D0LXCM3EIMbgJpUNnkRtOfOueHznB", "/root/x"):
+        assert not hit(rules.PLACEHOLDERS, value), value
+    for path in ("a/b.JPG", "go.mod", "cargo.sum", "x/vendor/github.com/a/b", "vendor/modules.txt", "node_modules/x.js", "yarn.lock", "x/jquery.min.js", ".venv/lib/python3/x", "a/b-1.0.dist-info/METADATA", "x.gem", ".mvn/wrapper/MavenWrapperDownloader.java"):
+        assert hit(rules.SKIPPED, path) == (path != ".venv/lib/python3/x"), path
+    for path in ("main.py", ".mvn/wrapper/other.java", "x.dist-info", "myvendor.txt", "gradle.lockfile.bak"):
+        assert not hit(rules.SKIPPED, path), path
+
+
 def test_redaction_and_reports():
     (finding,) = Scanner(Config(rules=(TOKEN,))).scan_string(f'token = "{VALUE}"', path="p")
     hidden = redact.redact_finding(finding, 100)
