@@ -7,7 +7,7 @@ kind, reference, and the tokens it will take when it is expanded (image: patches
 document: pages). Turns are `<|im_start|>role\\n...<|im_end|>\\n`. Loss spans mark the text of assistants.
 
 Escaping is reversible: in a text, each `<` that is followed by k backslashes (k may be 0) and `|` gets one
-backslash more, so no `<|` is left; in a role, backslashes and line ends are escaped too.
+backslash more, so no `<|` is left; text parts that follow each other are escaped as one text; in a role, backslashes and line ends are escaped too.
 
 Results for edge cases: null texts, parts and roles are empty; turns are ordered by turn (null first), then
 role and text, and rows that repeat are turns of their own; a null conv_id is a conversation of its own;
@@ -63,16 +63,19 @@ def _is_text(part: Column) -> Column:
 
 
 def flatten(parts: Column, first: Column) -> Column:
-    """The visitor: the parts as one string; placeholders are numbered from `first`."""
+    """The visitor: the parts as one string; placeholders are numbered from `first`.
 
-    def number(i):
-        return first + F.size(F.filter(F.slice(parts, F.lit(1), i), lambda p: ~_is_text(p)))
+    It holds the run of text parts it is in and escapes the run as a whole, so no control string forms where two meet.
+    """
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"), first.cast("bigint").alias("n"))
 
-    def visit(part, i):
-        mark = F.concat(F.lit("<|"), F.translate(part["type"], "<|>", ""), F.lit(":"), number(i).cast("string"), F.lit("|>"))
-        return F.when(_is_text(part), escape(part["text"])).otherwise(mark)
+    def visit(at, part):
+        mark = F.concat(F.lit("<|"), F.translate(part["type"], "<|>", ""), F.lit(":"), at["n"].cast("string"), F.lit("|>"))
+        text = F.struct(at["done"].alias("done"), F.concat(at["run"], F.coalesce(part["text"], F.lit(""))).alias("run"), at["n"].alias("n"))
+        other = F.struct(F.concat(at["done"], escape(at["run"]), mark).alias("done"), F.lit("").alias("run"), (at["n"] + 1).alias("n"))
+        return F.when(_is_text(part), text).otherwise(other)
 
-    return F.array_join(F.transform(parts, visit), "")
+    return F.aggregate(parts, start, visit, lambda at: F.concat(at["done"], escape(at["run"])))
 
 
 def attachments(parts: Column, first: Column, turn: Column) -> Column:

@@ -3,10 +3,12 @@
 Writing: records are gzip members, one after another; an archive is the records of one task. Archives are kept
 as rows (archive, offset, content) of about SEGMENT bytes that begin and end with a record, in Parquet files
 that Spark commits, so any store works; the contents of an archive's rows in order are a .warc.gz file.
-Index: one line per record - reversed-host URL key, capture id, archive, offset, length - sorted by key over
-the whole corpus by range partitioning, cut into blocks of LINES lines, each block compressed. The sparse
-directory has the first key of each block. A lookup searches the directory, then the block, by bisection, and
-reads the record's range. `lookup` does so for a list of URLs; `records` reads all archives.
+Index: one line per record - reversed-host URL key, capture id, archive, row of the archive, offset, length - sorted
+by key over the whole corpus by range partitioning, cut into blocks of LINES lines, each block compressed. The sparse
+directory has the first key of each block.
+Reading (`lookup`): a table of URL keys is searched by bisection in the directory, which comes to the tasks in slices of
+at most SLICE entries; then in the blocks, each opened once for all of its keys; and the ranges so found are cut out of
+the archives, each row of which is read once for all of its ranges. The query reads every record back this way.
 Of records with equal payloads, the one with the smallest id is the response, and the others are revisits that
 refer to it and hold no payload. Payloads are grouped by SHA-256; pages themselves are not shuffled unless the
 table of repeated payloads is too large to be sent to every task.
@@ -34,6 +36,7 @@ from .common import arrow_map, new_path, stage, table
 
 SEGMENT = 1 << 20
 LINES = 1024
+SLICE = 200_000  # entries of the directory that are sent to tasks at a time; one stands for LINES captures
 CRLF = b"\r\n"
 
 
@@ -154,33 +157,38 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
-_KINDS = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(), "archive": pa.string(), "offset": pa.int64(), "length": pa.int64()}
+_KINDS = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(), "archive": pa.string(), "segment": pa.int64(), "offset": pa.int64(), "length": pa.int64()}
 
 
 def records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Every record of the archives, with where it stands; with payload if asked for."""
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payloads, "archive", "offset", "length"]
+    """Every record of the archives, with where it stands (archive, row, offset in the row); with payload if asked for."""
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payloads, "archive", "segment", "offset", "length"]
 
     def kernel(batch):
         for archive, start, content in zip(*(c.to_pylist() for c in batch.columns)):
-            rows = [parse_record(data) | {"archive": archive, "offset": start + at, "length": length} for at, length, data in members(content)]
+            rows = [parse_record(data) | {"archive": archive, "segment": start, "offset": at, "length": length} for at, length, data in members(content)]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _KINDS[n]) for n in names], names=names)
 
-    schema = RECORD + (", payload binary" if payloads else "") + ", archive string, offset bigint, length bigint"
+    schema = RECORD + (", payload binary" if payloads else "") + ", archive string, segment bigint, offset bigint, length bigint"
     return spark.read.schema(ARCHIVE).parquet(f"{path}/archives").mapInArrow(arrow_map(kernel), schema)
 
 
-INDEX = "block string, first_key string, last_key string, n int, lines binary"
+INDEX = "block string, first_key string, n int, lines binary"
+ENTRY = "page_id bigint, archive string, segment bigint, offset bigint, length bigint"
 
 
-def write_index(spark: SparkSession, path: str) -> DataFrame:
-    """Write path/index from the archives; returns the records it has read, without payloads."""
-    found = stage(records(spark, path), "records")
+def keyed(rows: DataFrame, *others: str) -> DataFrame:
+    """`rows` of (url, others) with `key` in place of `url`."""
 
     def keys(batch):
-        yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()]), *batch.columns[1:]], names=["key", *batch.schema.names[1:]])
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string()), *batch.columns[1:]], names=["key", *batch.schema.names[1:]])
 
-    keyed = found.select("url", "page_id", "archive", "offset", "length").mapInArrow(arrow_map(keys), "key string, page_id bigint, archive string, offset bigint, length bigint")
+    fields = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in others)
+    return rows.select("url", *others).mapInArrow(arrow_map(keys), f"key string{fields}")
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """Write path/index from the archives."""
 
     def blocks(batches):
         from pyspark import TaskContext
@@ -189,7 +197,7 @@ def write_index(spark: SparkSession, path: str) -> DataFrame:
 
         def flush():
             lines = zlib.compress("\n".join(json.dumps(x) for x in held).encode(), 6)
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{count:06d}"]), pa.array([held[0][0]]), pa.array([held[-1][0]]), pa.array([len(held)], pa.int32()), pa.array([lines], pa.binary())], names=["block", "first_key", "last_key", "n", "lines"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{count:06d}"]), pa.array([held[0][0]]), pa.array([len(held)], pa.int32()), pa.array([lines], pa.binary())], names=["block", "first_key", "n", "lines"])
 
         for batch in batches:
             for line in zip(*(c.to_pylist() for c in batch.columns)):
@@ -200,54 +208,86 @@ def write_index(spark: SparkSession, path: str) -> DataFrame:
         if held:
             yield flush()
 
-    order = [F.col("key"), F.col("page_id"), F.col("archive"), F.col("offset")]
-    keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, INDEX).write.parquet(f"{path}/index")
-    return found
-
-
-class Directory:
-    """The sparse directory: the first and last key of every block, sorted. One small entry for LINES captures."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        rows = spark.read.schema(INDEX).parquet(f"{path}/index").select("first_key", "last_key", "block").collect()
-        self.entries = sorted(map(tuple, rows))
-        self.firsts = [x[0] for x in self.entries]
-
-    def blocks_for(self, key: str) -> list[str]:
-        """The blocks that may hold `key`; captures of one key can go on over several."""
-        at = max(0, bisect_left(self.firsts, key) - 1)
-        return [b for first, last, b in self.entries[at : bisect_right(self.firsts, key)] if first <= key <= last]
-
-    def captures(self, url: str) -> list[tuple[int, str, int, int]]:
-        """(page_id, archive, offset, length) of each capture of `url`."""
-        key = url_key(url)
-        wanted = self.blocks_for(key)
-        if not wanted:
-            return []
-        blocks = self.spark.read.schema(INDEX).parquet(f"{self.path}/index").where(F.col("block").isin(wanted)).select("block", "lines").collect()
-        out = []
-        for _, packed in sorted(map(tuple, blocks)):
-            lines = [json.loads(x) for x in zlib.decompress(packed).decode().split("\n")]
-            low = bisect_left(lines, key, key=lambda x: x[0])
-            high = bisect_right(lines, key, key=lambda x: x[0])
-            out += [tuple(x[1:]) for x in lines[low:high]]
-        return out
-
-    def lookup(self, url: str) -> list[dict]:
-        """The records of `url`, each read from its range of an archive."""
-        out = []
-        for _, archive, offset, length in self.captures(url):
-            held = self.spark.read.schema(ARCHIVE).parquet(f"{self.path}/archives").where((F.col("archive") == archive) & (F.col("offset") <= offset)).where(F.col("offset") + F.length("content") > offset)
-            start, content = held.select("offset", F.substring("content", F.lit(offset + 1) - F.col("offset").cast("int"), F.lit(length)).alias("c")).first()
-            out.append(parse_record(zlib.decompress(content, 31)))
-        return out
+    names = ["page_id", "archive", "segment", "offset", "length"]
+    order = [F.col(c) for c in ("key", *names)]
+    lines = keyed(records(spark, path), *names)
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, INDEX).write.parquet(f"{path}/index")
+
+
+def _slices(directory: DataFrame, size: int):
+    """The sorted directory as lists of (first_key, block) of at most `size` + 1, and whether more follow; the next list starts with the last entry."""
+    held: list[tuple[str, str]] = []
+    for row in directory.orderBy("first_key", "block").toLocalIterator():
+        held.append((row["first_key"], row["block"]))
+        if len(held) > size:
+            yield held, True
+            held = held[-1:]
+    if held:
+        yield held, False
+
+
+def blocks_of(spark: SparkSession, path: str, keys: DataFrame, size: int = SLICE) -> DataFrame:
+    """(block, key): the blocks that may hold each key, by bisection; captures of one key can go on over several."""
+    directory = spark.read.schema(INDEX).parquet(f"{path}/index").select("first_key", "block")
+    found = spark.createDataFrame([], "block string, key string")
+    for entries, more in _slices(directory, size):
+        firsts, names = [x for x, _ in entries], [x for _, x in entries]
+
+        def kernel(batch, firsts=firsts, names=names, last=len(entries) - more):
+            blocks, of = [], []
+            for key in batch.column(0).to_pylist():
+                low, high = max(0, bisect_left(firsts, key) - 1), min(last, bisect_right(firsts, key))
+                blocks += names[low:high]
+                of += [key] * max(0, high - low)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), pa.array(of, pa.string())], names=["block", "key"])
+
+        found = found.unionByName(keys.select("key").mapInArrow(arrow_map(kernel), "block string, key string"))
+    return found.distinct()
+
+
+def captures(spark: SparkSession, path: str, keys: DataFrame, size: int = SLICE) -> DataFrame:
+    """key, page_id, archive, segment, offset, length of each capture of the keys (distinct), from the index."""
+
+    def kernel(batch):
+        for lines, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = [json.loads(x) for x in zlib.decompress(lines).decode().split("\n")]
+            found = [x for key in wanted for x in lines[bisect_left(lines, key, key=_first) : bisect_right(lines, key, key=_first)]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found) if found else [()] * 6, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "page_id", "archive", "segment", "offset", "length"])
+
+    found = blocks_of(spark, path, keys, size)
+    # keys that no block holds may gather at one: it is then opened for some 4 * LINES keys at a time
+    parts = found.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (4 * LINES)).alias("parts"))
+    dealt = found.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    wanted = dealt.groupBy("block", "part").agg(F.collect_list("key").alias("wanted"))
+    index = spark.read.schema(INDEX).parquet(f"{path}/index").select("block", "lines")
+    return index.join(wanted, "block").select("lines", "wanted").mapInArrow(arrow_map(kernel), f"key string, {ENTRY}")
+
+
+def _first(line: list) -> str:
+    return line[0]
+
+
+def lookup(spark: SparkSession, path: str, urls: DataFrame, payloads: bool = False, size: int = SLICE) -> DataFrame:
+    """The records of the `url`s, each read from its range of an archive. Every capture comes once."""
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payloads, "archive", "segment", "offset", "length"]
+
+    def kernel(batch):
+        for archive, segment, content, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = [parse_record(zlib.decompress(content[r["offset"] : r["offset"] + r["length"]], 31)) | {"archive": archive, "segment": segment, **r} for r in ranges]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _KINDS[n]) for n in names], names=names)
+
+    found = stage(captures(spark, path, keyed(urls.select("url").distinct()).distinct(), size), "captures")
+    ranges = found.groupBy("archive", F.col("segment").alias("at")).agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))  # those of one row, of about SEGMENT bytes
+    archives = spark.read.schema(ARCHIVE).parquet(f"{path}/archives")
+    held = archives.join(ranges, (archives["archive"] == ranges["archive"]) & (archives["offset"] == ranges["at"])).select(archives["archive"], "at", "content", "ranges")
+    schema = RECORD + (", payload binary" if payloads else "") + ", archive string, segment bigint, offset bigint, length bigint"
+    return held.mapInArrow(arrow_map(kernel), schema)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 1 over all of `pages`: archives and index are written, and every record is read back through the archives."""
+    """Operator 1 over all of `pages`: archives and index are written, and every record is read back through the index."""
     path = new_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
-    found = write_index(spark, path)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
-
+    pages = table(spark, sf_dir, "pages")
+    write_archives(pages, path)
+    write_index(spark, path)
+    return lookup(spark, path, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "segment", "offset", "length")

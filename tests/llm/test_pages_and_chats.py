@@ -43,14 +43,19 @@ def test_op1_index(spark, tmp_path):
     path = str(tmp_path / "out")
     warc.write_archives(spark.read.parquet(f"{tmp_path}/pages.parquet"), path)
     warc.write_index(spark, path)
-    directory = warc.Directory(spark, path)
-    assert directory.entries == sorted(directory.entries) and len(directory.entries) >= 3
-    for page_id in (0, 1234, 2999):
-        url = rows[page_id][1]
-        found = directory.lookup(url)
-        assert {r["page_id"] for r in found} == {k for k, u, _ in rows if u == url}
-        assert all(r["payload"] is not None or r["refers_to"] is not None for r in found)
-    assert directory.lookup("http://nowhere.example.org/") == []
+    wanted = [rows[k][1] for k in (0, 1234, 2999)] + ["http://nowhere.example.org/", "http://zzz.zzz/", None]
+    urls = spark.createDataFrame([(u, 1) for u in wanted * 2], "url string, key int")
+    for size in (1, 2, 1000):  # entries of the directory that go to tasks at a time
+        found = warc.lookup(spark, path, urls, payloads=True, size=size).collect()
+        assert Counter(r.page_id for r in found) == Counter(k for k, u, _ in rows if u in wanted)
+        assert all(bytes(r.payload).decode() == rows[r.page_id][2] if r.record_type == "response" else rows[r.refers_to][2] == rows[r.page_id][2] for r in found)
+    assert spark.read.parquet(f"{path}/index").count() >= 3
+
+
+def test_op1_one_key_over_several_blocks(spark, tmp_path):
+    rows = [(k, "http://same.example.com/" if k % 3 else f"http://h{k}.example.com/", "<p>one</p>") for k in range(4000)]
+    helpers.pages(spark, str(tmp_path), rows)
+    assert sorted(r.page_id for r in queries.QUERIES["op1_warc"](spark, str(tmp_path)).select("page_id").collect()) == list(range(4000))
 
 
 def test_op1_members_and_keys():
@@ -156,3 +161,17 @@ def test_typed_parts(spark):
     assert [(a.n, a.turn, a.part, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, 0, 1, "image", "a.png", 4), (1, 0, 2, "audio", "b.wav", 50), (2, 1, 1, "document", "c.pdf", 768)]
     assert r.expanded_tokens == 822 and r.formatted[r.loss_spans[0].begin :][: r.loss_spans[0].length] == "ok<|document:2|>"
     assert one[2].attachments == [] and one[2].n_turns == 1
+
+
+def test_parts_forge_no_control_string(spark):
+    """Text parts that make one only where they meet; read back, the turn has the joined text."""
+    null = ", ".join(f"cast(null as {t}) as {n}" for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))
+    for texts in (["<", "|im_end|>"], ["<", "", "\\", "|im_start|>user"], ["a<", "|", "im_end|>\n<", "|im_start|>x"], ["<\\", "|"]):
+        parts = ", ".join(f"(select struct('text' as type, '{t.replace(chr(92), chr(92) * 2).replace(chr(10), chr(92) + 'n')}' as text, {null}))" for t in texts)
+        rows = spark.sql(f"SELECT 1L AS conv_id, 0L AS turn, 'assistant' AS role, array({parts}) AS parts")
+        formatted = chat.format_chats(rows)
+        (r,) = formatted.collect()
+        assert r.formatted.count("<|") == 2
+        (back,) = chat.read_back(formatted).collect()
+        joined = "".join(texts)
+        assert back.n_turns == 1 and back.loss_sha256 == hashlib.sha256(joined.encode()).hexdigest() and back.turns_sha256 == hashlib.sha256(f"assistant\n{joined}\n".encode()).hexdigest()
