@@ -344,6 +344,56 @@ def test_op2_learns_and_rejects(spark):
     assert all(x.rejected for x in other)
 
 
+def invented(r, syllables, n):
+    """Words of one invented language."""
+    return " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(n))
+
+
+def test_op2_limits_follow_centroid_and_length(spark):
+    """Paragraphs of a language that was not learned, in the same script, go; short and long texts of those learned stay."""
+    import random
+
+    r = random.Random(4)
+    syllables = {"aa": "the er in of an re on at nd st".split(), "bb": "de en ie oe ij aa ge ch ver ing".split()}
+    rows = [(k, invented(r, syllables[lang], r.choice((3, 20, 80, 300))), lang) for k in range(800) for lang in [("aa", "bb")[k % 2]]]
+    rows += [(900, "qzx", "aa"), (901, "%", "aa"), (902, "wholly odd yard glyph 1234 --", "bb")]  # rows unlike all others move no limit of note
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), clusters=2)
+    assert model.reach.shape == (len(model.languages), language_id.CLASSES) and (model.reach[:, 6:] < 1).all()
+    fresh = [(k, invented(r, syllables[lang], n), lang) for k, (lang, n) in enumerate((lang, n) for lang in syllables for n in (2, 5, 20, 100, 2000) for _ in range(20))]
+    kept = language_id.predict(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model).collect()
+    assert not any(x.rejected for x in kept) and all(x.lang == x.lang_pred for x in kept if len(x.text) > 60)
+    other = [(1, invented(r, "o ci ne glia sco pa lu mi to".split(), 80)), (2, "deadbeef0123 " * 60), (3, "for (int i = 0; i < n; i++) { sum += a[i]; }\n" * 20)]
+    gone = language_id.predict(spark.createDataFrame(other, "doc_id long, text string"), model).collect()
+    assert all(x.rejected for x in gone)
+
+
+def test_op2_weighs_any_count_exactly():
+    counts = np.array([[0, 1, 65_535, 65_536, 1_000_000]])
+    assert np.allclose(language_id.log_counts(counts), [[0, 1, *(1 + np.log([65_535, 65_536, 1_000_000]))]])
+
+
+def test_op2_against_brute_force(spark):
+    """Predictions from the model's own centroids, recomputed text by text with plain dictionaries."""
+    import random
+
+    r = random.Random(6)
+    syllables = {"aa": "the er in of an re".split(), "bb": "de en ie oe ij aa".split(), "cc": "la os el que un ar".split()}
+    rows = [(k, invented(r, syllables[lang], r.choice((1, 4, 40))), lang) for k in range(240) for lang in [("aa", "bb", "cc")[k % 3]]] + [(300, "", "aa"), (301, None, "bb"), (302, "123 .", "cc"), (303, "Thé ER", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, clusters=2)
+    for x in language_id.predict(docs, model).collect():
+        if not x.text or not re.search(r"[^\W\d_]", x.text):
+            assert (x.lang_pred, x.score, x.rejected) == ("und", 0.0, True)
+            continue
+        body = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in x.text.lower().encode()) + b" "
+        tf = Counter(((body[k] << 16 | body[k + 1] << 8 | body[k + 2]) * 2654435761 % 2**32) >> 19 for k in range(len(body) - 2) if body[k : k + 3] != b"   ")
+        vector = {t: (1 + math.log(n)) * float(model.idf[t]) for t, n in tf.items()}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[t]) for t, v in vector.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda j: cosines[j])
+        assert math.isclose(x.score, min(1, cosines[best]), abs_tol=1e-4) and (x.lang_pred == model.languages[best] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-4)
+
+
 def brute_groups(rows):
     fold = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
     words = {k: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().translate(fold)) for k, t in rows}
