@@ -213,8 +213,8 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
     return Model(model.languages, model.centroids, model.idf, limits(model.languages, *sums.reshape(3, len(model.languages), CLASSES)))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score and rejected."""
+def predict(docs: DataFrame, model: Model, accepted: bool = False) -> DataFrame:
+    """`docs` with lang_pred, score and rejected; or those that are accepted, with no column more."""
 
     def kernel(batch):
         texts = batch.column(0).to_pylist()
@@ -237,6 +237,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     text = next(k for k, c in renamed.items() if c == "text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     out = rows.select(F.col(text).alias("_text"), *renamed).mapInArrow(arrow_map(kernel), f"{fields}, lang_pred string, score double, rejected boolean")
+    if accepted:
+        return out.where(~F.col("rejected")).select(*renamed).toDF(*docs.columns)
     return out.toDF(*docs.columns, "lang_pred", "score", "rejected")
 
 
@@ -245,10 +247,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identified(docs: DataFrame, sample_of: DataFrame | None = None) -> DataFrame:
-    """`docs` with lang_pred, score and rejected, by a model of the rows of `sample_of` that are not held out."""
-    known = (docs if sample_of is None else sample_of).where(~held_out(F.col("doc_id")))
-    return predict(docs, fit(known))
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that a model of those that are not held out accepts."""
+    return predict(docs, fit(docs.where(~held_out(F.col("doc_id")))), accepted=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,20 @@
 """Mixing sources to target weights (operator 6). DataFrame and SQL functions only.
 
 Each source's words are one stream: its documents in the order of a hash bucket and, inside it, doc_id.
-The stream is cut into blocks of `block_tokens` words. A source's target is turned into a number of block
-slots; output shards of `shard_blocks` slots draw source counts: the whole part of the expected count, and
-a multinomial draw for the rest, with hashed uniforms; the last shard settles each source's total. Slot k
-of a source maps to a block by a swap-or-not permutation of the block numbers, a new one for each epoch
-(pass over the source), and slots are joined with blocks by (source, block).
+The stream is cut into blocks of `block_tokens` words. A source's target is turned into a number of block slots.
+The counts of sources in output shards of `shard_blocks` slots are multinomial, given that they add up to those
+numbers: all slots of all shards are one urn that holds each source so often, drawn without replacement. Slot j
+draws ball p(j) of a pseudorandom permutation p, so each slot tells its draw by itself, and no count depends on the
+shards before it. Independent draws would miss the targets by the root of their size; this correction is part of the
+draw and falls on all shards alike. (Counts of a shard have the hypergeometric spread, multinomial but for the factor
+(N - n) / (N - 1).) The ball's place among those of its source is the source's slot; it maps to a block by a swap-or-not
+permutation of the block numbers, a new one for each epoch (pass over the source), and slots are joined with blocks by
+(source, block).
 
 Running sums have two levels: sums per (source, bucket), then inside a bucket, so that a source with a
 third of all rows is not one task's work. The number of buckets follows the number of rows.
-One row per source is sorted in one task; sources are part of the mixture's recipe, so they are few.
+One row per source is sorted in one task and sent to the driver; sources are part of the mixture's recipe: more than
+MAX_SOURCES are an error.
 
 Results for edge cases: null and empty texts have size 0 and are never taken; a null source is a source of
 its own, after all others; rows that repeat are documents of their own; a source without words has target 0;
@@ -21,16 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage, table
+from .common import stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20_240_601
 ROUNDS = 16
-
-
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on the parts alone."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
+MAX_SOURCES = 10_000
 
 
 def permuted(k: Column, n: Column, *names: Column) -> Column:
@@ -84,31 +85,31 @@ def positions(sizes: DataFrame, rows: int) -> DataFrame:
     return joined.withColumn("at", F.col("base") + F.col("local")).drop("s", "b", "base", "local", "bucket")
 
 
-def slot_table(targets: DataFrame, block_tokens: int, shard_blocks: int, partitions: int) -> DataFrame:
+def slot_table(targets: DataFrame, block_tokens: int, shard_blocks: int) -> DataFrame:
     """(source, shard, slot, epoch, block): one row per output slot."""
+    spark = targets.sparkSession
     n_blocks = F.ceil(F.col("source_size") / F.lit(block_tokens)).cast("bigint")
     planned = targets.where("source_size > 0").withColumn("blocks", n_blocks)
     planned = planned.withColumn("slots", F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("bigint"))
-    every = Window.partitionBy(F.lit(0))
-    planned = planned.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(every) / F.lit(shard_blocks))).cast("bigint"))
-    expected = F.col("slots") / F.col("shards")
-    planned = planned.withColumn("whole", F.floor(expected)).withColumn("part", expected - F.floor(expected))
-    by_rank = every.orderBy("rank")
-    planned = planned.withColumn("hi", F.sum("part").over(by_rank)).withColumn("lo", F.col("hi") - F.col("part"))
-    # so many of a shard's slots are drawn; the shard's uniforms are spread over the fractions of all sources
-    planned = planned.withColumn("parts", F.sum("part").over(every)).withColumn("drawn", F.round("parts").cast("bigint"))
-    dealt = planned.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
-    dealt = dealt.repartition(partitions, "source", "shard")
-    draws = F.when(
-        F.col("drawn") > 0,
-        F.size(F.filter(F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest("drawn", F.lit(1).cast("bigint"))), lambda i: uniform(F.lit(SEED + 2), F.col("shard"), i) * F.col("parts")), lambda u: (u >= F.col("lo")) & (u < F.col("hi")))),
-    ).otherwise(0)
-    dealt = dealt.withColumn("draw", F.col("whole") + draws)
-    upto = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("first", F.least("slots", F.coalesce(F.sum("draw").over(upto), F.lit(0))))
-    end = F.when(F.col("shard") == F.col("shards") - 1, F.col("slots")).otherwise(F.least("slots", F.col("first") + F.col("draw")))
-    dealt = dealt.withColumn("end", end).where("end > first").repartition(partitions, "rank", "shard")
-    slots = dealt.withColumn("slot", F.explode(F.sequence("first", F.col("end") - 1)))
+    plan = planned.where("slots > 0").select("rank", "source", "blocks", "slots").orderBy("rank").limit(MAX_SOURCES + 1).collect()
+    if len(plan) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    first = [0]
+    for row in plan:
+        first.append(first[-1] + row["slots"])
+    balls = spark.range(first[-1]).select(F.col("id").alias("place"))
+    balls = balls.withColumn("ball", permuted(F.col("place"), F.lit(max(1, first[-1])).cast("bigint"), F.lit("urn")))
+    # the source whose balls these are: the last one whose first ball is not beyond
+    starts = F.array(*[F.lit(x).cast("bigint") for x in first[:-1] or [0]])
+    if len(plan) <= 64:
+        which = F.lit(0)
+        for x in first[1:-1]:
+            which = which + (F.col("ball") >= x).cast("int")
+    else:
+        which = F.size(F.filter(starts, lambda x: x <= F.col("ball"))) - 1
+    table_of = F.array(*[F.struct(F.lit(r["source"]).cast("string").alias("source"), F.lit(r["rank"]).cast("bigint").alias("rank"), F.lit(r["blocks"]).cast("bigint").alias("blocks"), F.lit(a).cast("bigint").alias("first")) for r, a in zip(plan, first)] or [F.struct(F.lit(None).cast("string").alias("source"), *[F.lit(0).cast("bigint").alias(c) for c in ("rank", "blocks", "first")])])
+    slots = balls.withColumn("of", F.element_at(table_of, which.cast("int") + 1))
+    slots = slots.select("of.source", F.floor(F.col("place") / F.lit(shard_blocks)).alias("shard"), (F.col("ball") - F.col("of.first")).alias("slot"), "of.rank", "of.blocks")
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
     block = permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.col("rank"), F.col("epoch"))
     return slots.select("source", "shard", "slot", "epoch", block.alias("block"))
@@ -127,13 +128,12 @@ class Mix:
     """The mixture of `docs`: `targets`, `placed` documents, `slots`, and what follows from them."""
 
     def __init__(self, docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_tokens: int = 128, shard_blocks: int = 8192, keep: tuple[str, ...] = ()):
-        spark = docs.sparkSession
         self.block_tokens = block_tokens
         sizes = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *keep), "sizes")
         self.targets = stage(target_table(sizes, list(weights), share, most), "targets")
         rows = self.targets.agg(F.sum("n_rows")).first()[0] or 0
         self.placed = positions(sizes, rows)
-        self.slots = slot_table(self.targets, block_tokens, shard_blocks, shuffle_partitions(spark))
+        self.slots = slot_table(self.targets, block_tokens, shard_blocks)
 
     def pieces_taken(self) -> DataFrame:
         """Pieces with `times`: how many slots hold their block."""
@@ -155,29 +155,26 @@ class Mix:
         return rows.join(t, rows.source.eqNullSafe(t.s)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def row_name(doc_id: str = "doc_id") -> Column:
-    """A name that only rows with the same doc_id, source and text share."""
-    return F.concat_ws("|", F.col(doc_id).cast("string"), F.hex(F.xxhash64("source", "text")))
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each time a document's blocks are taken, a row with the words it gives.
 
     A document that is taken whole keeps its text as it is; else the words are joined by one space.
     Other columns keep their values, n_chars is counted anew.
     """
-    mix = Mix(docs.withColumn("row", row_name()), keep=("row",), **options)
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # any names, those used here included
+    name = F.concat_ws("|", F.col(at["doc_id"]).cast("string"), F.hex(F.xxhash64(at["source"], at["text"])))
+    rows = docs.toDF(*at.values()).withColumn("row", name)  # only rows with the same doc_id, source and text share it
+    mix = Mix(rows.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "source", "text")], "row"), keep=("row",), **options)
     taken = mix.pieces_taken().where("times > 0")
     taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
     parts = taken.groupBy("row", "copy", "at", "size").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("parts"), F.sum("n_words").alias("words"))
     parts = parts.select("row", "parts", (F.col("words") == F.col("size")).alias("whole"))
     # rows that repeat are alike and have places of their own in the stream: one of them gives the text for all
-    texts = docs.withColumn("row", row_name()).dropDuplicates(["row"])
-    joined = texts.join(parts.hint("merge"), "row")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    joined = rows.dropDuplicates(["row"]).join(parts.hint("merge"), "row")
+    words = F.regexp_extract_all(at["text"], F.lit(f"({WORD})"))
     chosen = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
-    out = joined.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(chosen))
-    return out.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in docs.columns])
+    out = joined.withColumn(at["text"], F.when(F.col("whole"), F.col(at["text"])).otherwise(chosen))
+    return out.select(*[F.length(at["text"]).cast("bigint").alias(c) if c == "n_chars" else F.col(x).alias(c) for c, x in at.items()])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,10 +250,35 @@ def test_permutations(spark):
     from pyspark.sql import functions as F
 
     for n in (1, 2, 3, 10, 1000):
-        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(1), F.lit(0))).collect()]
+        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(1))).collect()]
         assert sorted(got) == list(range(n)) and (n < 1000 or got != sorted(got))
 
 
+def test_op6_draws_source_counts_for_each_shard(spark):
+    """Slots of each source add up to the plan; counts of shards are spread as draws from one urn are, not dealt evenly."""
+    rows = [(f"s{k}", n, 1, float(t), k) for k, (n, t) in enumerate(((400_000, 500_000), (300_000, 200_000), (100_000, 100_000), (0, 0)))]
+    targets = spark.createDataFrame(rows, "source string, source_size long, n_rows long, target double, rank int")
+    slots = mixing.slot_table(targets, block_tokens=10, shard_blocks=400).collect()
+    n, total = len(slots), Counter(r.source for r in slots)
+    assert total == {"s0": 50_000, "s1": 20_000, "s2": 10_000}
+    assert {r.shard for r in slots} == set(range(n // 400)) and set(Counter(r.shard for r in slots).values()) == {400}
+    assert len({(r.source, r.slot) for r in slots}) == n and set(Counter((r.source, r.epoch, r.block) for r in slots).values()) == {1}
+    of = Counter((r.source, r.shard) for r in slots)
+    for source, count in total.items():
+        p = count / n
+        spread = np.var([of[source, k] for k in range(n // 400)])
+        assert 0.6 < spread / (400 * p * (1 - p) * (n - 400) / (n - 1)) < 1.5  # 200 shards
+
+
+def test_op6_stands_many_sources(spark):
+    rows = [(k, f"a b c d e {k}", f"s{k % 100:03d}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(docs, block_tokens=4)
+    got = mix.digest().collect()
+    assert len(got) == 300 and all(0 <= r.taken <= 2 * r.size for r in got)
+    assert abs(sum(r.taken for r in got) - 1.5 * sum(r.size for r in got)) < 300
+
+
 def test_op7(spark, small):
     folder, rows = small
     want = Counter()

@@ -20,7 +20,7 @@ def corpus(spark):
         lang = ("en", "de")[k % 2]
         rows.append((k, " ".join(r.choice(words[lang]) + str(r.randrange(40)) for _ in range(r.randrange(30, 120))), lang, f"s{k % 4}", 1))
     rows += [(200, rows[0][1].upper(), "en", "s0", 1), (201, rows[5][1] + " one more", "de", "s1", 1), (202, None, None, None, None), (203, "это другой язык совсем", None, "s2", 1), (204, "", "en", "s2", 0)]
-    return rows, spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string").drop("kept")
+    return rows, spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
 
 
 def test_stages(spark):
@@ -55,6 +55,24 @@ def test_stages(spark):
         assert r.ids == library.encode(text[r.doc_id] or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+CLASHES = ("row", "parts", "whole", "rejected", "lang_pred", "score", "kept", "times", "copy", "at", "size", "id", "group_id", "c0", "key", "block")
+
+
+def test_columns_with_clashing_names_stay_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    rows, docs = corpus(spark)
+    docs = docs.drop("kept")
+    plain = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    for name, step in pipeline.STAGES[:-1]:
+        out = step(spark, plain, "")
+        assert out.columns == plain.columns
+        got = out.collect()
+        assert got and all(r[c] == (None if r.doc_id is None else f"{c} {r.doc_id}") for r in got for c in CLASHES), name
+        assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in step(spark, docs, "").collect()), name
+    assert pipeline.STAGES[-1][1](spark, plain, "").count() == len(rows)
+
+
 def test_run_and_edge_cases(spark, tmp_path):
     rows, docs = corpus(spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
