@@ -22,7 +22,7 @@ def without(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID (operator 2) accepts; `lang` stays as it was."""
-    return language_id.identified(docs).where("not rejected").select(*docs.columns)
+    return language_id.accepted(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
