@@ -7,12 +7,13 @@ its content features. Importance, from counts over all pages of the host (m: pag
   content        1 - the mean of log_m (pages that share a text), weighted by pages
   composite      (1 - g^l) * presentation + g^l * the mean over its children, g = 0.9, l style nodes;
                  for a node without children, its content importance
-Branches whose composite importance is at most THRESHOLD are removed from each page. A host with fewer than
-MIN_PAGES pages says too little; what HTML itself says is always used: nav, aside, footer, form, script and the
-like, and ids or classes that name menus, adverts, notices, comments and so on, are presentation of no
-importance. If a page marks its main content (article, main, role=main), only that is read, and the tree judges
-the branches inside it too. Pages of a host whose text by marks alone is the same count once: copies of an article
-are no template (near copies count each). Where the tree would leave nothing of the marked content, it stays.
+A node seen on m distinct pages is judged by (m * importance + PRIOR) / (m + PRIOR), as few pages say little, and
+branches at or below THRESHOLD are removed from each page, inside marked content too; inline elements go with their block. What HTML itself says is a
+prior that needs no statistics: nav, aside, footer, form, script and the like, and ids or classes all of whose words
+name menus, adverts, notices, comments and so on (`share-buttons`, but not `share-price`), have no importance. A page's
+main content is what it marks as such (article, main, role=main), else what is left of the whole page. Pages of a host
+whose text by marks alone is the same count once: copies of an article are no template. Where the tree would leave
+nothing of the content, it stays.
 
 What a page has is packed and goes once to its (host, text). Counts are then summed per (host, path, feature) before and after one shuffle, so a host with a third of all pages
 is no single task; what is gathered per host is its distinct paths. Both passes read pages where they lie.
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, stage, table
 
-MIN_PAGES, THRESHOLD, DECAY = 8, 0.3, 0.9
+PRIOR, THRESHOLD, DECAY = 2.0, 0.3, 0.9
+DEEP = 512  # how far up an end tag is matched, as browsers limit nesting
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 NOISE_TAGS = frozenset("head script style noscript iframe template svg canvas object embed nav aside footer form button select textarea input dialog menu noembed noframes title".split())
@@ -49,7 +51,10 @@ SCOPE = frozenset("ul ol dl table select article section main div body nav aside
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices notification alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond replies share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager skip search copyright disclaimer".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Words that say nothing by themselves; beside a word of NOISE_WORDS they leave its meaning.
+NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container footer global group header icon icons inner item items left link links list main media outer page panel primary right row secondary section site slot top unit widget wrap wrapper zone".split())
+_TAG = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -63,37 +68,38 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
+        """One pass, linear in the source and its nesting is kept by counts, so stray end tags cost nothing."""
         stack, at, n = [0], 0, len(source)
+        self.depth = Counter()  # how many of each tag are open
+        last = {q: source.rfind(q) for q in "\"'>"}
         stream = self.stream
         while at < n:
-            found = _TOKEN.search(source, at)
-            if found is None:
+            start = source.find("<", at)
+            if start < 0 or last[">"] < start and not source.startswith("<!--", start):
                 stream.append((stack[-1], source[at:]))
-                break
-            if found.start() > at:
-                stream.append((stack[-1], source[at : found.start()]))
-            at = found.end()
-            close, tag, attributes = found[1], found[2] or found[4], found[3] or found[5] or ""
-            if close:
-                close = close.lower()
-                if close == "p" and not any(self.tags[x] == "p" for x in stack):
-                    stream.append((stack[-1], None))
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == close:
-                        if close not in INLINE:
-                            stream.append((stack[k], None))
-                        del stack[k:]
-                        break
-                    if close in INLINE and self.tags[stack[k]] not in INLINE:
-                        break  # an inline end tag doesn't end blocks
+                return
+            if start > at:
+                stream.append((stack[-1], source[at:start]))
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = n if end < 0 else end + 3
+                continue
+            name = _TAG.match(source, start + 1)
+            if name is None:
+                if source[start + 1 : start + 2] in ("!", "?"):
+                    at = source.find(">", start) + 1
+                else:
+                    stream.append((stack[-1], "<"))
+                    at = start + 1
                 continue
-            if not tag:
+            stop = self._tag_end(source, name.end(), last)
+            tag, attributes, at = name[0].lower(), source[name.end() : stop], stop + 1
+            if tag[0] == "/":
+                self._close(stack, tag[1:])
                 continue
-            tag = tag.lower()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and self.depth["p"]:
                 self._end(stack, {"p"}, SCOPE)
-            if tag in ENDS:
+            if tag in ENDS and any(self.depth[x] for x in ENDS[tag]):
                 self._end(stack, ENDS[tag], SCOPE - {"div", "section", "article"} if tag == "li" else {"table", "dl", "select"})
             node = self._open(tag, attributes, stack[-1])
             if tag not in INLINE:
@@ -101,19 +107,63 @@ class Page:
             if tag in VOID or attributes.endswith("/") and tag not in RAW:
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at) if self._ends(source, tag, at) else None
                 stream.append((node, source[at : end.start() if end else n]))
                 at = end.end() if end else n
                 continue
             stack.append(node)
+            self.depth[tag] += 1
+
+    def _tag_end(self, source: str, at: int, last: dict[str, int]) -> int:
+        """Where the tag's `>` stands; one in quotes doesn't count if the quote is closed before the source ends."""
+        first = source.find(">", at)
+        while True:
+            sign = _END.search(source, at)
+            if sign is None:
+                return first
+            if sign[0] == ">":
+                return sign.start()
+            if last[sign[0]] <= sign.start():
+                return first  # the quote is never closed
+            at = source.find(sign[0], sign.end()) + 1
+            if at > last[">"]:
+                return first
+
+    def _ends(self, source: str, tag: str, at: int) -> bool:
+        """Whether an end tag of a raw element may follow; where it can't is noted, so that it is looked for once."""
+        known = self.__dict__.setdefault("raw", {})
+        if tag not in known:
+            known[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", source, re.I)), default=-1)
+        return known[tag] >= at
+
+    def _close(self, stack: list[int], tag: str) -> None:
+        if not self.depth[tag]:
+            if tag == "p":
+                self.stream.append((stack[-1], None))
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if len(stack) - k > DEEP:
+                return
+            if self.tags[stack[k]] == tag:
+                if tag not in INLINE:
+                    self.stream.append((stack[k], None))
+                self._pop(stack, k)
+                return
+            if tag in INLINE and self.tags[stack[k]] not in INLINE:
+                return  # an inline end tag doesn't end blocks
+
+    def _pop(self, stack: list[int], k: int) -> None:
+        for node in stack[k:]:
+            self.depth[self.tags[node]] -= 1
+        del stack[k:]
 
     def _end(self, stack: list[int], which: set[str], scope) -> None:
         """Close the innermost of `which` that is open inside the scope."""
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
             tag = self.tags[stack[k]]
             if tag in which:
                 self.stream.append((stack[k], None))
-                del stack[k:]
+                self._pop(stack, k)
                 return
             if tag in scope:
                 return
@@ -121,17 +171,24 @@ class Page:
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         named = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
         marks = f"{named.get('id', '')} {named.get('class', '')}".strip()
-        words = frozenset(w.lower() for w in _WORDS.findall(marks)) if marks else frozenset()
+        words, named_noise = frozenset(), frozenset()
+        for mark in marks.split():
+            of = frozenset(w.lower() for w in _WORDS.findall(mark))
+            words |= of
+            if of & NOISE_WORDS and not of - NOISE_WORDS - NEUTRAL_WORDS - {w for w in of if w.isdigit()}:
+                named_noise |= of & NOISE_WORDS
         role = named.get("role", "").lower()
         if role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
             words |= {"nav"}
+            named_noise |= {"nav"}
         if "hidden" in named or "display:none" in named.get("style", "").replace(" ", "").lower():
             words |= {"popup"}
+            named_noise |= {"popup"}
         self.tags.append(tag)
         self.names.append(f"{tag}.{'.'.join(sorted(words - {str(x) for x in words if x.isdigit()}))}" if words else tag)
-        self.words.append(words)
+        self.words.append(named_noise)
         self.parents.append(parent)
-        self.main.append((tag in ("article", "main") or role == "main") and not words & NOISE_WORDS)
+        self.main.append((tag in ("article", "main") or role == "main") and not named_noise)
         return len(self.tags) - 1
 
     def paths(self) -> list[int]:
@@ -141,8 +198,8 @@ class Page:
             out.append(xxhash.xxh64_intdigest(name, out[parent] & 0xFFFFFFFF ^ out[parent] >> 32 & 0xFFFFFFFF))
         return [x - (1 << 64) if x >> 63 else x for x in out]
 
-    def noise(self, low: frozenset[int] = frozenset()) -> list[bool]:
-        """Which nodes stand in a branch that is removed. low: paths of low importance at this host."""
+    def noise(self, low: frozenset[int] = frozenset(), named: bool = True) -> list[bool]:
+        """Which nodes stand in a branch that is removed. low: paths of low importance at this host. named: whether names of ids and classes count."""
         n = len(self.tags)
         holds, inside = [False] * n, [False] * n
         for k in range(n - 1, 0, -1):
@@ -153,15 +210,17 @@ class Page:
         for k in range(1, n):
             p, tag = self.parents[k], self.tags[k]
             inside[k] = inside[p] or self.main[k]
-            marked = tag in NOISE_TAGS or tag == "header" and not inside[k] or bool(self.words[k] & NOISE_WORDS) or bool(self.words[k] & {"header"}) and not inside[k]
-            judged = paths is not None and paths[k] in low
+            marked = tag in NOISE_TAGS or tag == "header" and not inside[k] or named and bool(self.words[k])
+            judged = paths is not None and tag not in INLINE and paths[k] in low  # a word of a sentence is no branch
             out[k] = out[p] or tag not in ("html", "body") and not holds[k] and not self.main[k] and (marked or judged)
         return out
 
     def text(self, low: frozenset[int] = frozenset()) -> str:
         """The main text."""
         noise = self.noise(low)
-        return self._marked(noise) or low and self._marked(self.noise()) or self._blocks([not x for x in noise])
+        found = self._marked(noise) or low and self._marked(self.noise()) or self._blocks([not x for x in noise])
+        # names of classes alone never empty a page
+        return found or low and self._blocks([not x for x in self.noise()]) or self._blocks([not x for x in self.noise(named=False)])
 
     def _marked(self, noise: list[bool]) -> str:
         inside = [False] * len(self.tags)
@@ -284,12 +343,12 @@ def composite(nodes: pd.DataFrame) -> dict[int, float]:
     return out
 
 
-def low_paths(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
+def low_paths(pages: DataFrame, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
     """(host, low): the paths of low importance of each host that has some."""
 
     def judge(nodes: pd.DataFrame) -> pd.DataFrame:
         of = composite(nodes)
-        low = [r.path for r in nodes.itertuples() if r.pages >= min_pages and of[r.path] <= threshold]
+        low = [r.path for r in nodes.itertuples() if (r.pages * of[r.path] + prior) / (r.pages + prior) <= threshold]
         return pd.DataFrame({"host": pd.Series([nodes.host.iloc[0]] if low else [], dtype=object), "low": pd.Series([low] if low else [], dtype=object)})
 
     return importance(tree_counts(pages)).groupBy("host").applyInPandas(judge, "host string, low array<bigint>")

@@ -90,6 +90,12 @@ ARTICLE = "<html><head><title>t</title><script>x='</p>'</script></head><body><na
         ("<script>never closed <p>a", ""),
         ("<div class=sidebar><article>inside</article></div>", "inside"),
         ("<" * 1000 + "p", "<" * 1000 + "p"),
+        ("<article><p>a</p><div class='share-price'><p>The share price rose.</p></div><section class='search-results'>b</section></article>", "a The share price rose. b"),
+        ("<div class='social-science'>c</div><div class='social share-buttons'>no</div>", "c"),
+        ("<div id='comments'>All there is</div>", "All there is"),
+        ("<p>a</i></b> b</p></p>c", "a b c"),
+        ("x <a 'y> b", "x b"),
+        ("1 < 2 <3 <p title='a>b'>c</p>", "1 < 2 <3 c"),
     ],
 )
 def test_main_text(html, text):
@@ -106,6 +112,70 @@ def test_style_tree_removes_what_all_pages_share(spark, tmp_path):
     assert got[101].text == "" and got[None].text == "y"
 
 
+@pytest.mark.parametrize("html", ["<a \"x " * 150_000, "<b>" * 200_000 + "</p>" * 200_000, "<p" * 400_000, "<script>" * 100_000, "<!--" * 200_000, "<div>" * 150_000 + "</span>" * 150_000, "<li>" * 200_000, "<a b='" * 150_000 + ">", "<![" * 300_000])
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    began = time.process_time()
+    html_extract.Page(html)
+    assert time.process_time() - began < 12
+
+
+def importances(pages):
+    """Composite importance of each path by the formulas, from plain counts of distinct pages."""
+    import math
+
+    parsed = {p.text(): p for p in map(html_extract.Page, pages)}.values()
+    nodes, kids, styles, texts = Counter(), {}, {}, {}
+    for p in parsed:
+        for path, parent, kind, feature in p.features():
+            if kind == 2:
+                nodes[path] += 1
+                kids.setdefault(parent, set()).add(path)
+            else:
+                (styles, texts)[kind].setdefault(path, Counter())[feature] += 1
+
+    def value(path):
+        m = nodes[path]
+        below = [(value(c), nodes[c]) for c in kids.get(path, ())]
+        if path in texts:
+            t, n = texts[path], sum(texts[path].values())
+            below.append((max(0.0, 1 - sum(k * math.log(k) / math.log(m) for k in t.values()) / n) if m > 1 else 1.0, m))
+        mean = sum(v * w for v, w in below) / sum(w for _, w in below) if below else 1.0
+        if path not in kids:
+            return mean
+        s = styles[path]
+        n = sum(s.values())
+        shown = min(1.0, -sum(k / n * math.log(k / n) / math.log(m) for k in s.values())) if m > 1 else 1.0
+        keep = 0.9 ** max(1, len(s))
+        return (1 - keep) * shown + keep * mean
+
+    return {path: (value(path), m) for path, m in nodes.items()}
+
+
+def test_importance_against_brute_force(spark, tmp_path):
+    page = lambda k: f"<body><div class=top><span>Same words</span><i>{k % 3}</i></div><div class=story><h2>Head {k}</h2>{'<p>Part of ' + str(k) + '.</p>' + '<ul><li>x</ul>' * (k % 2)}</div>{'<div class=end>Bye</div>' if k % 5 else ''}</body>"
+    htmls = [page(k) for k in range(30)] + [page(3)] * 4
+    helpers.pages(spark, str(tmp_path), [(k, "http://h.example/", h) for k, h in enumerate(htmls)])
+    want = importances(htmls)
+    nodes = html_extract.importance(html_extract.tree_counts(spark.read.parquet(f"{tmp_path}/pages.parquet"))).toPandas()
+    got = html_extract.composite(nodes)
+    assert set(got) == set(want) and all(abs(got[p] - v) < 1e-9 for p, (v, _) in want.items())
+    low = {p for p, (v, m) in want.items() if (m * v + html_extract.PRIOR) / (m + html_extract.PRIOR) <= html_extract.THRESHOLD}
+    (row,) = html_extract.low_paths(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()
+    assert set(row.low) == low and low
+    texts = {r.page_id: r.text for r in queries.QUERIES["op9_html_main_text"](spark, str(tmp_path)).collect()}
+    assert texts == {k: html_extract.Page(h).text(frozenset(low)) for k, h in enumerate(htmls)} and "Same words" not in texts[0] and "Part of 7." in texts[7]
+
+
+def test_tree_finds_what_marks_say(spark, tmp_path):
+    """Pages as those of the table with their marks taken away: the tree alone gives the text that the marks give."""
+    page = lambda k, mark: f"<body><div class=links><a href=x>Home</a><a href=y>News</a></div><div class=slot9>Buy now</div><{mark}><h1>Title {k}</h1><p>First {k} <b>bold</b>.</p><p>Second {k * 3}.</p></{mark}><div class=last>All rights</div></body>"
+    helpers.pages(spark, str(tmp_path), [(k, f"http://s{k % 2}.example/{k}", page(k, "div")) for k in range(24)])
+    got = {r.page_id: r.text for r in queries.QUERIES["op9_html_main_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: html_extract.Page(page(k, "article")).text() for k in range(24)}
+
+
 def test_style_tree_judges_inside_marked_content(spark, tmp_path):
     page = lambda k: f"<body><article><h1>Title {k}</h1><div class='box'><span>Same words</span></div><p>Story {k} is its own.</p></article></body>"
     copy = "<body><article><h1>Copied</h1><section><p>An article that was posted often.</p></section></article></body>"
