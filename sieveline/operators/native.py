@@ -31,12 +31,12 @@ def lines(df: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def findings(df: DataFrame, key: str, body: str, rules: list[LineRule]) -> DataFrame:
-    """(key, line_no, line, rule_id, specificity, confidence, value) of every match."""
+    """(key, line_no, line, rule_id, specificity, confidence, value, ahead) of every match; ahead: characters of the line before the value."""
     patterns = [dialect.java_regex(r.regex) for r in rules]
     combined = "|".join(f"(?:{p})" for p in patterns)
     rows = lines(df.where(F.col(body).rlike(combined)), key, body).where(F.col("line").rlike(combined))
-    each = [F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.specificity).cast("bigint").alias("specificity"), F.lit(r.confidence).alias("confidence"), F.regexp_extract_all("line", F.lit(p), F.lit(r.group)).alias("values")) for r, p in zip(rules, patterns)]
-    found = rows.withColumn("r", F.explode(F.array(*each))).select(key, "line_no", "line", "r.rule_id", "r.specificity", "r.confidence", F.explode("r.values").alias("value"))
+    each = [F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.specificity).cast("bigint").alias("specificity"), F.lit(r.confidence).alias("confidence"), _placed(F.col("line"), p, r.group).alias("values")) for r, p in zip(rules, patterns)]
+    found = rows.withColumn("r", F.explode(F.array(*each))).select(key, "line_no", "line", "r.rule_id", "r.specificity", "r.confidence", F.explode("r.values").alias("v")).select("*", "v.value", "v.ahead").drop("v")
     kept = found
     for r in rules:
         if r.filter:
@@ -46,6 +46,19 @@ def findings(df: DataFrame, key: str, body: str, rules: list[LineRule]) -> DataF
     return kept
 
 
+def _placed(line: Column, pattern: str, group: int) -> Column:
+    """(value, ahead) of each match. A whole match that comes again stands at its next occurrence in the line."""
+    values = F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
+    wholes = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+
+    def place(pair, i):
+        nth = F.size(F.filter(F.slice(wholes, F.lit(1), i + 1), lambda w: w == pair["w"]))
+        before = F.length(F.call_function("substring_index", line, pair["w"], nth))
+        return F.struct(pair["v"].alias("value"), (before + F.instr(pair["w"], pair["v"]) - 1).cast("bigint").alias("ahead"))
+
+    return F.transform(F.arrays_zip(values.alias("v"), wholes.alias("w")), place)
+
+
 def without_markers(found: DataFrame, markers: tuple[str, ...]) -> DataFrame:
     """Findings whose source line has none of the markers (case counts)."""
     marked = F.lit(False)
@@ -69,18 +82,24 @@ def not_ignored(found: DataFrame, ignored: DataFrame, key: bytes | None = None)
 def most_specific(found: DataFrame, key: str) -> DataFrame:
     """Findings that no more specific finding of another rule on the same line has the value of.
 
-    The findings of a line are few; the anti join's keys are the document and the line.
+    One pass and one shuffle by document and line; the findings of a line are few.
     """
-    other = found.select(F.col(key).alias("k2"), F.col("line_no").alias("l2"), F.col("rule_id").alias("r2"), F.col("specificity").alias("s2"), F.col("value").alias("v2"))
-    better = (F.col(key) == F.col("k2")) & (F.col("line_no") == F.col("l2")) & (F.col("rule_id") != F.col("r2")) & (F.col("s2") > F.col("specificity")) & F.col("v2").contains(F.col("value"))
-    return found.join(other, better, "left_anti")
+    line = F.collect_list(F.struct("rule_id", "specificity", "value")).over(Window.partitionBy(key, "line_no"))
+    better = F.exists("others_", lambda o: (o["rule_id"] != F.col("rule_id")) & (o["specificity"] > F.col("specificity")) & o["value"].contains(F.col("value")))
+    return found.withColumn("others_", line).where(~better).drop("others_")
+
 
+def near(found: DataFrame, primary: Column, part: Column, key: str, before: int, after: int, optional: bool = False) -> DataFrame:
+    """The findings `primary` with each `part` on the lines [line - before, line + after] of the same document.
 
-def near(primary: DataFrame, parts: DataFrame, key: str, before: int, after: int, how: str = "inner") -> DataFrame:
-    """Band join: parts on the lines [line - before, line + after] of the same document."""
-    p = parts.select(F.col(key).alias("pk"), F.col("line_no").alias("part_line"), F.col("rule_id").alias("part_rule"), F.col("value").alias("part_value"))
-    band = (F.col(key) == F.col("pk")) & F.col("part_line").between(F.col("line_no") - before, F.col("line_no") + after)
-    return primary.join(p, band, how).drop("pk")
+    One pass and one shuffle: a range frame holds the parts in reach, and no more. Without any, a finding goes
+    unless parts are optional.
+    """
+    band = Window.partitionBy(key).orderBy("line_no").rangeBetween(-before, after)
+    one = F.when(part, F.struct(F.col("line_no").alias("part_line"), F.col("rule_id").alias("part_rule"), F.col("value").alias("part_value")))
+    rows = found.where(primary | part).withColumn("parts_", F.collect_list(one).over(band)).where(primary)
+    explode = F.explode_outer if optional else F.explode
+    return rows.withColumn("part_", explode("parts_")).select("*", "part_.*").drop("part_", "parts_")
 
 
 def capped_sets(joined: DataFrame, keys: list[str], most: int = 100) -> DataFrame:
@@ -91,8 +110,8 @@ def capped_sets(joined: DataFrame, keys: list[str], most: int = 100) -> DataFram
 
 
 def location(found: DataFrame) -> DataFrame:
-    """+ start_column and end_column (bytes, from 1, inclusive) of the value's first place in its line."""
-    ahead = F.octet_length(F.substring("line", F.lit(1), F.instr("line", F.col("value")) - 1)).cast("bigint")
+    """+ start_column and end_column (bytes, from 1, inclusive) of the value in its line."""
+    ahead = F.octet_length(F.substring("line", F.lit(1), F.col("ahead").cast("int"))).cast("bigint")
     return found.withColumn("start_column", ahead + 1).withColumn("end_column", ahead + F.octet_length("value"))
 
 

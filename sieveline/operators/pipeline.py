@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from . import summary, validate
 from .scan import Scanner
+from .staging import stage
 
 
 @dataclass
@@ -21,8 +22,8 @@ class Pipeline:
         self.scanner, self.client, self.analyze, self.statuses = scanner, client, analyze, statuses
 
     def run(self, fragments: DataFrame, excluded: tuple[str, ...] = ()) -> Result:
-        """Counts are made before the status filter."""
-        found = self.scanner.scan(fragments, excluded)
+        """Scans now, and once: findings are staged. Counts are made before the status filter."""
+        found = stage(self.scanner.scan(fragments, excluded), "findings")
         if self.client is not None:
             found = validate.validate(found, self.client, self.analyze)
         counted = summary.scan_summary(found)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from . import summary
 from .redact import dumps, to_wire
+from .staging import stage
 
 SCHEMA_VERSION = "1"
 
@@ -26,6 +27,7 @@ def json_lines(findings: DataFrame) -> DataFrame:
 
 def write_jsonl(findings: DataFrame, path: str, with_scan: bool = True) -> None:
     """Text files of finding lines and, last, a file with the scan record."""
+    findings = stage(findings, "report") if with_scan else findings
     json_lines(findings).write.mode("overwrite").text(path)
     if with_scan:
         row = summary.scan_summary(findings).first().asDict()

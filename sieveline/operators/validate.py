@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ANALYSIS
+from .staging import stage
 from . import summary
 
 RESULTS = ("valid", "invalid", "revoked", "unknown", "needs_validation", "error")
@@ -79,7 +80,10 @@ def credential_key():
 
 
 def validate(findings: DataFrame, client: Client, analyze: Client | None = None, total_per_task: int | None = None) -> DataFrame:
-    """Findings with `analysis`. Credentials are asked once each; the answers go back by key."""
+    """Findings with `analysis`. Each credential is asked for once, now: the answers are staged and go back by key.
+
+    Findings that cost a scan should be staged by the caller, as Pipeline does: they are read twice here.
+    """
     keyed = findings.withColumn("credential", credential_key())
     distinct = keyed.groupBy("credential").agg(F.any_value("rule_id").alias("rule_id"), F.any_value("match.value").alias("value"), F.max("component_sets_truncated").alias("truncated"))
 
@@ -94,7 +98,7 @@ def validate(findings: DataFrame, client: Client, analyze: Client | None = None,
                 rows.append({"credential": r["credential"], "status": a["status"], "reason": a.get("reason") or "", "severity": a.get("severity") or "", "identity": str(a["identity"]) if a.get("identity") else None, "capabilities": a.get("capabilities") or [], "metadata": str(a["metadata"]) if a.get("metadata") else None})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string()) for n in ("credential", "status", "reason", "severity", "identity")] + [("capabilities", pa.list_(pa.string())), ("metadata", pa.string())]))
 
-    answers = distinct.mapInArrow(run, "credential string, status string, reason string, severity string, identity string, capabilities array<string>, metadata string")
+    answers = stage(distinct.mapInArrow(run, "credential string, status string, reason string, severity string, identity string, capabilities array<string>, metadata string"), "answers")
     analysis = F.struct("status", F.col("reason").alias("status_reason"), F.lit(None).cast("string").alias("status_metadata"), "reason", "severity", "identity", "capabilities", "metadata").cast(ANALYSIS).alias("analysis")
     return keyed.join(answers.select("credential", analysis), "credential", "left").drop("credential")
 

@@ -95,11 +95,16 @@ _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 
 
 def _found_sql() -> str:
-    parts = [f"SELECT doc_id, line_no, line, '{r.id}' AS rule_id, {r.specificity}::BIGINT AS specificity, '{r.confidence}' AS confidence, unnest(regexp_extract_all(line, {_q(r.regex)}, {r.group})) AS value FROM lines" for r in LINE_RULES]
+    parts = [f"SELECT doc_id, line_no, line, '{r.id}' AS rule_id, {r.specificity}::BIGINT AS specificity, '{r.confidence}' AS confidence, unnest(regexp_extract_all(line, {_q(r.regex)}, {r.group})) AS value, unnest(regexp_extract_all(line, {_q(r.regex)}, 0)) AS whole, generate_subscripts(regexp_extract_all(line, {_q(r.regex)}, 0), 1) AS nth FROM lines" for r in LINE_RULES]
     return f"WITH {_LINES}, found AS ({' UNION ALL '.join(parts)})"
 
 
 FOUND = _found_sql()
+#: found with `ahead`, the part of the line before the value: a match that comes again stands at its next occurrence
+PLACED = FOUND + """, placed AS (
+  SELECT *, substr(line, 1, (list_sum(list_transform(list_slice(string_split(line, whole), 1, again), lambda x: length(x))) + (again - 1) * length(whole) + length(string_split(whole, value)[1]))::BIGINT) AS ahead
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, rule_id, whole ORDER BY nth) AS again FROM found)
+)"""
 ENTROPY_SQL = """(SELECT coalesce(-sum(c / n * log2(c / n)), 0) FROM (SELECT count(*)::DOUBLE AS c, any_value(n) AS n FROM (SELECT unnest(range(strlen(value))) AS i, strlen(value)::DOUBLE AS n) GROUP BY substr(value, (i + 1)::INT, 1)))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,42 +244,42 @@ def specificity_precedence(spark, sf_dir):
 _NEAR = " FROM (SELECT * FROM found WHERE rule_id = 'ipv4') p {how} JOIN (SELECT doc_id AS d, line_no AS part_line, rule_id AS part_rule, value AS part_value FROM found WHERE rule_id IN ('card', 'token')) c ON p.doc_id = c.d AND c.part_line BETWEEN p.line_no - 4 AND p.line_no + 4"
 
 
-def _near(spark, sf_dir, how) -> DataFrame:
-    found = _found(spark, sf_dir)
-    return native.near(found.where("rule_id = 'ipv4'"), found.where("rule_id in ('card', 'token')"), "doc_id", 4, 4, how)
+def _near(spark, sf_dir, optional: bool = False) -> DataFrame:
+    rule = F.col("rule_id")
+    return native.near(_found(spark, sf_dir), rule == "ipv4", rule.isin("card", "token"), "doc_id", 4, 4, optional)
 
 
 @query(FOUND + " SELECT doc_id, line_no, value, part_rule, part_line, part_value" + _NEAR.format(how="INNER"))
 def component_proximity(spark, sf_dir):
-    """Findings with a required component within five lines: a band join."""
-    return _near(spark, sf_dir, "inner").select("doc_id", "line_no", "value", "part_rule", "part_line", "part_value")
+    """Findings with a required component within five lines."""
+    return _near(spark, sf_dir).select("doc_id", "line_no", "value", "part_rule", "part_line", "part_value")
 
 
 @query(FOUND + " SELECT doc_id, line_no, value, part_rule, part_line, part_value" + _NEAR.format(how="LEFT"))
 def component_optional(spark, sf_dir):
     """The same with an optional component."""
-    return _near(spark, sf_dir, "left").select("doc_id", "line_no", "value", "part_rule", "part_line", "part_value")
+    return _near(spark, sf_dir, optional=True).select("doc_id", "line_no", "value", "part_rule", "part_line", "part_value")
 
 
 @query(FOUND + ", n AS (SELECT doc_id, line_no, value, count(*) AS c" + _NEAR.format(how="INNER") + " GROUP BY ALL) SELECT doc_id, line_no, value, least(c, 1)::BIGINT AS n_sets, c > 1 AS truncated FROM n")
 def component_sets_capped(spark, sf_dir):
     """Component sets up to a cap, and whether there were more."""
-    return native.capped_sets(_near(spark, sf_dir, "inner"), ["doc_id", "line_no", "value"], 1).withColumn("n_sets", F.col("n_sets").cast("bigint"))
+    return native.capped_sets(_near(spark, sf_dir), ["doc_id", "line_no", "value"], 1).withColumn("n_sets", F.col("n_sets").cast("bigint"))
 
 
 # ---- places and contexts -------------------------------------------------------------------------------
 
 
-@query(FOUND + " SELECT doc_id, line_no, rule_id, value, (strlen(split_part(line, value, 1)) + 1)::BIGINT AS start_column, (strlen(split_part(line, value, 1)) + strlen(value))::BIGINT AS end_column FROM found")
+@query(PLACED + " SELECT doc_id, line_no, rule_id, value, (strlen(ahead) + 1)::BIGINT AS start_column, (strlen(ahead) + strlen(value))::BIGINT AS end_column FROM placed")
 def location_line_col(spark, sf_dir):
     """Lines from 1, columns in bytes from 1, the end inclusive."""
     return native.location(_found(spark, sf_dir)).select("doc_id", "line_no", "rule_id", "value", "start_column", F.col("end_column").cast("bigint").alias("end_column"))
 
 
-@query(FOUND + " SELECT doc_id, line_no, rule_id, value, substr(line, greatest(1, length(split_part(line, value, 1)) + 1 - 10), length(value) + 10 + least(10, length(split_part(line, value, 1)))) AS context FROM found")
+@query(PLACED + " SELECT doc_id, line_no, rule_id, value, substr(line, greatest(1, length(ahead) + 1 - 10), length(value) + 10 + least(10, length(ahead))) AS context FROM placed")
 def context_window_cols(spark, sf_dir):
     """Ten characters around each value, inside its line."""
-    found = _found(spark, sf_dir).withColumn("ahead", F.instr("line", F.col("value")) - 1)
+    found = _found(spark, sf_dir).withColumn("ahead", F.col("ahead").cast("int"))
     cut = F.substring("line", F.greatest(F.lit(1), F.col("ahead") - 9), F.length("value") + 10 + F.least(F.lit(10), F.col("ahead")))
     return found.select("doc_id", "line_no", "rule_id", "value", cut.alias("context"))
 

@@ -18,17 +18,20 @@ from pyspark.sql import functions as F
 from ..schema import FRAGMENT
 
 CHUNK, LOOKAHEAD = 100_000, 25_000
+_SPACE = b"\n \t\r\f\v"
 _BLANK = re.compile(rb"\n[ \t\r\f\v]*\n")
 
 
 def chunks(data: bytes):
-    """(start line, piece): CHUNK bytes and up to LOOKAHEAD more, to the next blank line."""
+    """(start line, piece): CHUNK bytes and, if they don't end with a blank line, up to LOOKAHEAD more, to the next one."""
     at, line = 0, 1
     while at < len(data):
         end = min(len(data), at + CHUNK)
         if end < len(data):
-            tail = _BLANK.search(data, max(at, end - 1), min(len(data), end + LOOKAHEAD))
-            end = tail.end() if tail else min(len(data), end + LOOKAHEAD)
+            head = data[at:end]
+            if head[len(head.rstrip(_SPACE)) :].count(b"\n") < 2:  # it doesn't end with a blank line yet
+                tail = _BLANK.search(data, max(at, end - 1), min(len(data), end + LOOKAHEAD))
+                end = tail.end() if tail else min(len(data), end + LOOKAHEAD)
             while end < len(data) and data[end] & 0xC0 == 0x80:
                 end += 1  # don't cut a character
         piece = data[at:end]

@@ -174,6 +174,42 @@ def test_validation():
         validate.revoke(lambda c: {"result": "revoked"}, {})
 
 
+def test_a_credential_is_asked_for_once(spark, tmp_path):
+    """Over findings and summary together, however often they are used."""
+    from sieveline.operators.pipeline import Pipeline
+    from sieveline.operators.scan import fragments_of
+
+    asked = str(tmp_path / "asked")
+
+    def client(credential):
+        with open(asked, "a") as f:
+            f.write(credential["value"] + "\n")
+        return {"result": "valid"}
+
+    docs = spark.createDataFrame([(k, f'token = "{VALUE[:-1]}{k % 3}"') for k in range(9)], "doc_id long, text string")
+    result = Pipeline(Scanner(Config(rules=(TOKEN,))), client).run(fragments_of(docs, "doc_id", "text", "d"))
+    assert result.findings.count() == len(result.findings.collect()) == result.summary.first().num_findings == 9
+    assert sorted(open(asked).read().split()) == sorted(f"{VALUE[:-1]}{k}" for k in range(3))
+
+
+def test_a_repeated_value_has_two_places(spark):
+    from sieveline.operators import native
+
+    rows = spark.createDataFrame([(1, "é ab1 x ab2 ab1\nab1ab1")], "k long, body string")
+    found = native.location(native.findings(rows, "k", "body", [native.LineRule("r", r"(ab1)", 1), native.LineRule("s", r"x (ab\d)", 1)]))
+    got = {(r.rule_id, r.line_no, r.start_column, r.end_column) for r in found.collect()}
+    assert got == {("r", 1, 4, 6), ("r", 1, 14, 16), ("r", 2, 1, 3), ("r", 2, 4, 6), ("s", 1, 10, 12)}
+
+
+def test_a_chunk_that_ends_with_a_blank_line_reads_no_further():
+    data = b"x" * (chunks.CHUNK - 3) + b"\n \n" + b"yy\n\nzz"
+    assert [len(p) for _, p in chunks.chunks(data)] == [chunks.CHUNK, 6]
+    data = b"x" * (chunks.CHUNK - 1) + b"\n" + b"yy\n\nzz"
+    assert [len(p) for _, p in chunks.chunks(data)] == [chunks.CHUNK + 4, 2]
+    data = b"x" * (chunks.CHUNK - 1) + b"\n" + b"\nzz"
+    assert [len(p) for _, p in chunks.chunks(data)] == [chunks.CHUNK + 1, 2]
+
+
 def test_chunks_and_archives():
     data = b"".join(b"line %d\n%s" % (k, b"\n" if k % 50 == 0 else b"") for k in range(40000))
     parts = list(chunks.chunks(data))
