@@ -120,6 +120,7 @@ def members(content: bytes, piece: int = 1 << 14):
 
 
 ARCHIVE = "archive string, offset bigint, content binary"
+CAPTURES = "captures array<struct<url:string,page_id:bigint,offset:bigint,length:bigint>>"
 
 
 def marked(pages: DataFrame) -> DataFrame:
@@ -131,29 +132,31 @@ def marked(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write path/archives: a record for each row of (page_id, url, html)."""
+    """Write path/archives: a record for each row of (page_id, url, html); beside each row of an archive, where its records stand."""
+    kind = pa.list_(pa.struct([("url", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def run(batches):
         from pyspark import TaskContext
 
         name = f"capture-{TaskContext.get().partitionId():06d}.warc.gz"
-        held, size, offset = [], 0, 0
+        held, listed, size, offset = [], [], 0, 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([offset], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["archive", "offset", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([offset], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([listed], kind)], names=["archive", "offset", "content", "captures"])
 
         for batch in batches:
             for page_id, url, payload, first in zip(*(c.to_pylist() for c in batch.columns)):
                 data = record(page_id, url, payload, first, first is None or first == page_id)
                 held.append(data)
+                listed.append({"url": url, "page_id": page_id, "offset": size, "length": len(data)})
                 size += len(data)
                 if size >= SEGMENT:
                     yield flush()
-                    held, size, offset = [], 0, offset + size
+                    held, listed, size, offset = [], [], 0, offset + size
         if held:
             yield flush()
 
-    marked(pages).select("page_id", "url", "payload", "first_id").mapInArrow(run, ARCHIVE).write.parquet(f"{path}/archives")
+    marked(pages).select("page_id", "url", "payload", "first_id").mapInArrow(run, f"{ARCHIVE}, {CAPTURES}").write.parquet(f"{path}/archives")
 
 
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
@@ -188,7 +191,7 @@ def keyed(rows: DataFrame, *others: str) -> DataFrame:
 
 
 def write_index(spark: SparkSession, path: str) -> None:
-    """Write path/index from the archives."""
+    """Write path/index from what the archives list of their records; their contents are not read."""
 
     def blocks(batches):
         from pyspark import TaskContext
@@ -210,7 +213,9 @@ def write_index(spark: SparkSession, path: str) -> None:
 
     names = ["page_id", "archive", "segment", "offset", "length"]
     order = [F.col(c) for c in ("key", *names)]
-    lines = keyed(records(spark, path), *names)
+    listed = spark.read.schema(f"archive string, offset bigint, {CAPTURES}").parquet(f"{path}/archives")
+    listed = listed.select("archive", F.col("offset").alias("segment"), F.explode("captures").alias("c")).select("c.url", "c.page_id", "archive", "segment", "c.offset", "c.length")
+    lines = keyed(listed, *names)
     lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, INDEX).write.parquet(f"{path}/index")
 
 

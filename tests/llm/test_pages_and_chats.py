@@ -50,6 +50,9 @@ def test_op1_index(spark, tmp_path):
         assert Counter(r.page_id for r in found) == Counter(k for k, u, _ in rows if u in wanted)
         assert all(bytes(r.payload).decode() == rows[r.page_id][2] if r.record_type == "response" else rows[r.refers_to][2] == rows[r.page_id][2] for r in found)
     assert spark.read.parquet(f"{path}/index").count() >= 3
+    # the index says of each record what a full pass over the archives finds
+    place = ("page_id", "url", "record_type", "archive", "segment", "offset", "length")
+    assert sorted(map(tuple, warc.lookup(spark, path, spark.read.parquet(f"{tmp_path}/pages.parquet")).select(*place).collect())) == sorted(map(tuple, warc.records(spark, path).select(*place).collect()))
 
 
 def test_op1_one_key_over_several_blocks(spark, tmp_path):
