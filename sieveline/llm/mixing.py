@@ -98,7 +98,8 @@ def slot_table(targets: DataFrame, block_tokens: int, shard_blocks: int) -> Data
     for row in plan:
         first.append(first[-1] + row["slots"])
     balls = spark.range(first[-1]).select(F.col("id").alias("place"))
-    balls = balls.withColumn("ball", permuted(F.col("place"), F.lit(max(1, first[-1])).cast("bigint"), F.lit("urn")))
+    # explode: the optimizer would else copy the permutation into every use of `ball`
+    balls = balls.select("place", F.explode(F.array(permuted(F.col("place"), F.lit(max(1, first[-1])).cast("bigint"), F.lit("urn")))).alias("ball"))
     # the source whose balls these are: the last one whose first ball is not beyond
     starts = F.array(*[F.lit(x).cast("bigint") for x in first[:-1] or [0]])
     if len(plan) <= 64:
@@ -108,7 +109,7 @@ def slot_table(targets: DataFrame, block_tokens: int, shard_blocks: int) -> Data
     else:
         which = F.size(F.filter(starts, lambda x: x <= F.col("ball"))) - 1
     table_of = F.array(*[F.struct(F.lit(r["source"]).cast("string").alias("source"), F.lit(r["rank"]).cast("bigint").alias("rank"), F.lit(r["blocks"]).cast("bigint").alias("blocks"), F.lit(a).cast("bigint").alias("first")) for r, a in zip(plan, first)] or [F.struct(F.lit(None).cast("string").alias("source"), *[F.lit(0).cast("bigint").alias(c) for c in ("rank", "blocks", "first")])])
-    slots = balls.withColumn("of", F.element_at(table_of, which.cast("int") + 1))
+    slots = balls.select("place", "ball", F.explode(F.array(F.element_at(table_of, which.cast("int") + 1))).alias("of"))
     slots = slots.select("of.source", F.floor(F.col("place") / F.lit(shard_blocks)).alias("shard"), (F.col("ball") - F.col("of.first")).alias("slot"), "of.rank", "of.blocks")
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
     block = permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.col("rank"), F.col("epoch"))
