@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, binary_rows, spans, table
 
 DIMS = 1 << 13
+PIECE = 1 << 18  # bytes of a text that are counted at a time
 UNKNOWN = "und"
 _CLEAN = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _LETTER = regex.compile(r"\p{L}")
@@ -43,17 +44,16 @@ CLASSES, DEVIATIONS, FLOOR, CEILING, ENOUGH = 32, 6.0, 0.2, 0.35, 20
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
-    """[text, DIMS] counts of hashed byte trigrams of whole texts; trigrams of spaces alone are left out."""
-    bodies = [b" " + t.lower().encode("utf-8", "replace") + b" " for t in texts]
-    data = np.frombuffer(b"".join(bodies).translate(_CLEAN), np.uint8).astype(np.uint32)
-    code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-    bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int32)
-    bucket[code == 0x202020] = DIMS
-    out = np.empty((len(texts), DIMS), np.int32)
-    start = 0
-    for k, body in enumerate(bodies):
-        out[k] = np.bincount(bucket[start : start + len(body) - 2], minlength=DIMS + 1)[:DIMS]
-        start += len(body)
+    """[text, DIMS] counts of hashed byte trigrams of whole texts, PIECE bytes at a time; trigrams of spaces alone are left out."""
+    out = np.zeros((len(texts), DIMS), np.int32)
+    for k, text in enumerate(texts):
+        body = np.frombuffer((b" " + text.lower().encode("utf-8", "replace") + b" ").translate(_CLEAN), np.uint8)
+        for a in range(0, len(body) - 2, PIECE):
+            data = body[a : a + PIECE + 2].astype(np.uint32)
+            code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+            bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int32)
+            bucket[code == 0x202020] = DIMS
+            out[k] += np.bincount(bucket, minlength=DIMS + 1)[:DIMS]
     return out
 
 
@@ -217,26 +217,27 @@ def predict(docs: DataFrame, model: Model, accepted: bool = False) -> DataFrame:
     """`docs` with lang_pred, score and rejected; or those that are accepted, with no column more."""
 
     def kernel(batch):
-        texts = batch.column(0).to_pylist()
-        n = len(texts)
-        language, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-        usable = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
-        size = np.fromiter((len(texts[k]) for k in usable), np.int64, len(usable))
-        for a, b in spans(size, 1_000_000):
-            for c in range(a, b, 128):
-                rows = usable[c : min(b, c + 128)]
+        column = batch.column(at)
+        for a, b in spans(np.diff(binary_rows(column)[1]), 1_000_000):
+            texts = column[a:b].to_pylist()
+            n = b - a
+            language, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+            usable = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
+            for c in range(0, len(usable), 128):
+                rows = usable[c : c + 128]
                 cosine = weighted(trigram_counts([texts[k] for k in rows]), model.idf) @ model.centroids.T
                 best = cosine.argmax(1)
                 top = np.clip(cosine[np.arange(len(rows)), best], 0, 1)
                 for k, j, s in zip(rows, best.tolist(), top.tolist()):
                     language[k], score[k], rejected[k] = model.languages[j], s, 1 - s > model.reach[j, length_class(len(texts[k].encode("utf-8", "replace")))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(language), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[1:], "lang_pred", "score", "rejected"])
+            found = [pa.array(language), pa.array(score), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, n).columns, *found], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     renamed = {f"c{k}": c for k, c in enumerate(docs.columns)}  # any names, clashing ones included
     rows = docs.toDF(*renamed)
-    text = next(k for k, c in renamed.items() if c == "text")
+    at = docs.columns.index("text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    out = rows.select(F.col(text).alias("_text"), *renamed).mapInArrow(arrow_map(kernel), f"{fields}, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(arrow_map(kernel), f"{fields}, lang_pred string, score double, rejected boolean")
     if accepted:
         return out.where(~F.col("rejected")).select(*renamed).toDF(*docs.columns)
     return out.toDF(*docs.columns, "lang_pred", "score", "rejected")
