@@ -265,6 +265,12 @@ def batch_encoder(path: str) -> BatchEncoder:
     return BatchEncoder(automaton.encode_words, automaton.special)
 
 
+def forget() -> None:
+    """Drop the automaton and the words it has met: some 100 MB that an idle worker need not hold."""
+    batch_encoder.cache_clear()
+    load.cache_clear()
+
+
 def _text(data: bytes) -> str:
     """Invalid UTF-8 becomes U+FFFD."""
     return data.decode("utf-8", "replace")
@@ -309,7 +315,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(arrow_map(kernel), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(arrow_map(kernel, forget), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(ids: DataFrame, tokenizer: str, column: str = "ids", key: str = "doc_id") -> DataFrame:

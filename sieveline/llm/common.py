@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 STEP = 3_000_000
 #: Where stages go if spark.checkpoint.dir is unset and the driver is the only process.
 LOCAL_DIR = "/tmp/checkpoints/sieveline"
+#: Bytes of rows that go to Python in one batch while a stage is written (Spark's own default is 64 MB or more).
+BATCH_BYTES = 5_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +51,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write `df` as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    While it is written, batches for Python are of BATCH_BYTES at most, or of one row; both sides hold one at a time.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, str(BATCH_BYTES))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -112,8 +123,8 @@ def release() -> None:
         trim(0)
 
 
-def arrow_map(kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """A mapInArrow function that applies `kernel` to each batch, and gives free memory back when they end."""
+def arrow_map(kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], forget: Callable[[], None] = lambda: None):
+    """A mapInArrow function that applies `kernel` to each batch; when they end, it calls `forget` and gives free memory back."""
 
     def run(batches):
         batch = None
@@ -123,6 +134,7 @@ def arrow_map(kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
                     yield from kernel(batch)
         finally:
             del batch
+            forget()
             release()
 
     return run

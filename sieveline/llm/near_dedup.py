@@ -37,7 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binary_rows, discard, spans, stage, table
+from .common import arrow_map, binary_rows, discard, release, spans, stage, table
+from .words import powers
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 8, 2, 0.8
 DF_BITS = 18
@@ -58,16 +59,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (int(_PRIME), pow(int(_PRIME), -1, 1 << 64)):
-        x = np.full(n, base, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
 def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each document and the end) of documents back to back."""
     n = len(body)
@@ -77,7 +68,7 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first[offsets[:-1]] = True
     starts = np.flatnonzero(letter[1:] & (~letter[:-1] | first))
     ends = np.flatnonzero(letter[1:-1] & (~letter[2:] | first[1:])) + 1
-    power, inverse = _powers(1 << max(16, int(n).bit_length()))
+    power, inverse = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_CHAR[body] * power[:n], out=total[1:])
     hashes = mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
@@ -194,6 +185,7 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), c[a:b]) for c in (ids, texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([b - a]), pa.array([int(size[a:b].sum())]), *lists], names=["chunk", "n", "bytes", "ids", "texts"])
                 k += 1
+        release()
 
     rows = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("binary").alias("text"))
     return stage(rows.mapInArrow(run, "chunk bigint, n bigint, bytes bigint, ids array<bigint>, texts array<binary>"), "chunks")

@@ -40,7 +40,7 @@ def _compiled():
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse mod 2**64, `n` of each at least."""
     if not _POWERS or len(_POWERS[0][0]) < n:
         room, out = 1 << max(16, int(n).bit_length()), []
@@ -54,7 +54,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hashes(cp: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word; words that differ may share one."""
-    power, inverse = _powers(len(cp))
+    power, inverse = powers(len(cp))
     total = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum((cp + np.uint64(0x9E37)) * power[: len(cp)], out=total[1:])
     return mixed((total[starts + length] - total[starts]) * inverse[starts] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
