@@ -1,14 +1,17 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sieveline.llm import bpe_automaton, exact_dedup, flac, language_id, mixing, near_dedup, queries, token_files
+from sieveline.llm import bpe_automaton, common, exact_dedup, flac, language_id, mixing, near_dedup, queries, token_files
 from sieveline.llm.words import BatchEncoder
 
 from . import helpers
@@ -533,3 +536,19 @@ def test_weighted_samples_agree_as_often_as_sets_are_alike():
         hits += int((one == two).sum())
         total += near_dedup.BANDS * same**near_dedup.ROWS
     assert abs(hits / total - 1) < 0.1
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    there = lambda: {str(f) for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = there(), spark.conf.get(setting)
+    pairs = spark.range(100_000, numPartitions=3).repartition(4, "id").groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    staged = common.stage(pairs, "test")
+    for _ in range(50):  # they go in the background
+        if not there() - before:
+            break
+        time.sleep(0.1)
+    assert not there() - before and spark.conf.get(setting) == was
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, pairs.collect())) == [(k, 100) for k in range(1000)]
+    common.discard(staged)
