@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -552,3 +553,16 @@ def test_staging_leaves_no_shuffle_files(spark):
     assert not there() - before and spark.conf.get(setting) == was
     assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, pairs.collect())) == [(k, 100) for k in range(1000)]
     common.discard(staged)
+
+
+def test_op4_counts_the_shingles_of_a_chunk_in_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (3, 5000, 0, 400, 9000, 1, 700)] + [None]
+    whole = near_dedup.binary_rows(pa.array(texts, pa.binary()))
+    want = np.unique(near_dedup.shingles(*near_dedup.word_hashes(*whole))[1], return_counts=True)
+    seen, hashed = [], near_dedup.word_hashes
+    monkeypatch.setattr(near_dedup, "_STEP", 2000)
+    monkeypatch.setattr(near_dedup, "word_hashes", lambda body, offsets: seen.append((len(body), len(offsets))) or hashed(body, offsets))
+    got = near_dedup.distinct(pa.array(texts, pa.binary()))
+    assert all(np.array_equal(x, y) for x, y in zip(got, want)) and want[1].max() > 1
+    assert len(seen) > 1 and all(size <= 2000 or rows == 2 for size, rows in seen)
