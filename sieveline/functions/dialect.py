@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from re import _constants, _parser
+from typing import NamedTuple
 
 _POSIX = {
     "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
@@ -165,3 +167,113 @@ def java_regex(source: str) -> str:
 def any_of(patterns: list[str]) -> str:
     """One pattern that matches if any of `patterns` does. Flags stay inside their alternative."""
     return "|".join(f"(?:{p})" for p in patterns)
+
+
+# ---- what every match holds ----------------------------------------------------------------------------
+
+
+class _Item(NamedTuple):
+    """One part of a sequence in Java's syntax: whole, at its shortest, whether case folds, and the character if it is one."""
+
+    full: str
+    least: str
+    fold: bool = False
+    char: str = ""
+
+
+def _point(code: int) -> str:
+    return chr(code) if chr(code).isascii() and chr(code).isalnum() else f"\\x{{{code:x}}}"
+
+
+def _members(arg, fold: bool) -> str:
+    if arg[0][0] is _constants.NEGATE and fold:
+        return r"[\s\S]"
+    out = "["
+    for op, value in arg:
+        if op is _constants.NEGATE:
+            out += "^"
+        elif op is _constants.LITERAL:
+            out += _point(value)
+        elif op is _constants.RANGE:
+            out += f"{_point(value[0])}-{_point(value[1])}"
+        else:
+            raise NotImplementedError(op)
+    return out + "]"
+
+
+def _items(parsed, fold: bool) -> list[_Item]:
+    """The parts of a parsed pattern. Anchors, bounds and look-around are left out, so that no less matches."""
+    out = []
+    for op, arg in parsed:
+        if op is _constants.LITERAL:
+            folds = fold and chr(arg).lower() != chr(arg).upper()
+            out.append(_Item(_point(arg), _point(arg), folds, chr(arg)))
+        elif op is _constants.NOT_LITERAL:
+            code = r"[\s\S]" if fold else f"[^{_point(arg)}]"
+            out.append(_Item(code, code))
+        elif op is _constants.ANY:
+            out.append(_Item(r"[\s\S]", r"[\s\S]"))
+        elif op is _constants.IN:
+            code = _members(arg, fold)
+            out.append(_Item(code, code, fold))
+        elif op in (_constants.AT, _constants.ASSERT, _constants.ASSERT_NOT):
+            continue
+        elif op is _constants.SUBPATTERN:
+            _, on, off, inner = arg
+            out += _items(inner, (fold or bool(on & re.I)) and not off & re.I)
+        elif op is _constants.BRANCH:
+            ways = [_joined([(i.full, i.fold) for i in _items(a, fold)]) for a in arg[1]]
+            code = "(?:" + "|".join(ways) + ")"
+            if any(ways):
+                out.append(_Item(code, code if all(ways) else ""))
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT):
+            low, high, inner = arg
+            parts = _items(inner, fold)
+            if not parts or high == 0:
+                continue
+            one = len(parts) == 1 and parts[0].full == parts[0].least
+            code = parts[0].full if one else "(?:" + _joined([(i.full, i.fold) for i in parts]) + ")"
+            most = "," if high is _constants.MAXREPEAT else f",{high}" if high > low else ""
+            out.append(_Item(f"{code}{{{low}{most}}}", f"{code}{{{low}}}" if low else "", one and parts[0].fold))
+        else:
+            raise NotImplementedError(op)
+    return out
+
+
+def _joined(parts: list[tuple[str, bool]]) -> str:
+    out, folds = "", False
+    for code, fold in parts:
+        if fold != folds:
+            out, folds = out + ("(?i)" if fold else "(?-i)"), fold
+        out += code
+    return out
+
+
+@lru_cache(4096)
+def gate(source: str) -> tuple[str, str]:
+    """(text, Java pattern) that every match of `source` holds: cheap tests, of which no text with a match fails one. "" is no test.
+
+    The pattern is the rule's own from its longest run of characters on, without what bounds it, and no longer than it must
+    be at its ends. So a search begins only where that run stands, and doesn't read a word again from each of its signs.
+    """
+    try:
+        parsed = _parser.parse(translate(source, "python").text, re.ASCII)
+        items = _items(parsed, bool(parsed.state.flags & re.I))
+    except (re.error, ValueError, NotImplementedError):  # what only Java knows
+        return "", ""
+    start, length, at = 0, 0, 0
+    for k, item in enumerate(items):
+        at = at if k and item.char and items[k - 1].char else k
+        if item.char and k + 1 - at > length:
+            start, length = at, k + 1 - at
+    run = items[start : start + length]
+    text = "" if any(i.fold for i in run) else "".join(i.char for i in run)
+    rest = items[start:]
+    while rest and not rest[0].least:
+        rest = rest[1:]
+    while rest and not rest[-1].least:
+        rest = rest[:-1]
+    if len(rest) == length and text:
+        return text, ""
+    ends = (0, len(rest) - 1)
+    return text, _joined([(i.least if k in ends else i.full, i.fold) for k, i in enumerate(rest)])

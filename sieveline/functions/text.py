@@ -30,13 +30,19 @@ def rune_entropy(value: str) -> float:
 
 
 def entropy(value: Column) -> Column:
-    """byte_entropy as a Column: n log n of each distinct byte's count, in the JVM."""
+    """byte_entropy as a Column: n log n of each distinct byte's count, in the JVM.
+
+    The bytes are bound to a variable: inside a lambda, they would be cut out of the value again for each distinct one.
+    """
     digits = F.hex(F.encode(value, "UTF-8"))
-    n = F.length(digits) / 2
-    each = F.transform(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
-    counts = F.transform(F.array_distinct(each), lambda b: F.size(F.filter(each, lambda x: x == b)).cast("double"))
-    total = F.aggregate(counts, F.lit(0.0), lambda s, c: s - c / n * F.log2(c / n))
-    return F.when(n > 0, total).otherwise(0.0)
+    each = F.regexp_extract_all(digits, F.lit(".."), F.lit(0))
+
+    def total(found: Column) -> Column:
+        n = F.size(found).cast("double")
+        counts = F.transform(F.array_distinct(found), lambda b: F.size(F.filter(found, lambda x: x == b)).cast("double"))
+        return F.aggregate(counts, F.lit(0.0), lambda s, c: s - c / n * F.log2(c / n))
+
+    return F.when(F.length(digits) > 0, F.transform(F.array(each), total)[0]).otherwise(0.0)
 
 
 def fingerprint(value: str | bytes, key: bytes | None = None) -> str:

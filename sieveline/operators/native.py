@@ -1,12 +1,13 @@
 """The native path: findings of single-line rules, and what follows them, as columns and joins.
 
 A rule is native if its pattern stays inside a line, it has no components and its filter compiles to columns.
-Lines are exploded once; each rule adds one regexp over lines that pass the combined pattern.
+Each pattern has a gate (dialect.gate): texts that pass none aren't split, and a rule's regexp runs on lines that pass its own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,11 @@ def lines(df: DataFrame, key: str, body: str) -> DataFrame:
 
 def findings(df: DataFrame, key: str, body: str, rules: list[LineRule]) -> DataFrame:
     """(key, line_no, line, rule_id, specificity, confidence, value, ahead) of every match; ahead: characters of the line before the value."""
-    patterns = [dialect.java_regex(r.regex) for r in rules]
-    combined = "|".join(f"(?:{p})" for p in patterns)
-    rows = lines(df.where(F.col(body).rlike(combined)), key, body).where(F.col("line").rlike(combined))
-    each = [F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.specificity).cast("bigint").alias("specificity"), F.lit(r.confidence).alias("confidence"), _placed(F.col("line"), p, r.group).alias("values")) for r, p in zip(rules, patterns)]
-    found = rows.withColumn("r", F.explode(F.array(*each))).select(key, "line_no", "line", "r.rule_id", "r.specificity", "r.confidence", F.explode("r.values").alias("v")).select("*", "v.value", "v.ahead").drop("v")
-    kept = found
+    rows = lines(df.where(F.col(body).isNotNull() & _any(body, rules)), key, body).where(_any("line", rules))
+    each = [F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.specificity).cast("bigint").alias("specificity"), F.lit(r.confidence).alias("confidence"), F.when(may_match(F.col("line"), r.regex), _matches(F.col("line"), dialect.java_regex(r.regex), r.group)).alias("values")) for r in rules]
+    found = rows.withColumn("r", F.explode(F.array(*each))).select(key, "line_no", "line", "r.rule_id", "r.specificity", "r.confidence", F.explode("r.values").alias("v"))
+    before = F.length(F.call_function("substring_index", F.col("line"), F.col("v.whole"), F.col("v.nth")))
+    kept = found.withColumns({"value": F.col("v.value"), "ahead": (before + F.instr(F.col("v.whole"), F.col("v.value")) - 1).cast("bigint")}).drop("v")
     for r in rules:
         if r.filter:
             env = {"finding": {"secret": F.col("value"), "line": F.col("line"), "rule_id": F.col("rule_id"), "confidence": F.col("confidence")}.__getitem__}
@@ -46,17 +46,32 @@ def findings(df: DataFrame, key: str, body: str, rules: list[LineRule]) -> DataF
     return kept
 
 
-def _placed(line: Column, pattern: str, group: int) -> Column:
-    """(value, ahead) of each match. A whole match that comes again stands at its next occurrence in the line."""
-    values = F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
-    wholes = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+def may_match(body: Column, regex: str) -> Column:
+    """Whether a text passes the gate of a pattern: true wherever a line of it has a match, and rarely elsewhere."""
+    held, pattern = dialect.gate(regex)
+    tests = ([body.contains(held)] if held else []) + ([body.rlike(pattern)] if pattern else [])
+    return reduce(Column.__and__, tests, F.lit(True))
 
-    def place(pair, i):
-        nth = F.size(F.filter(F.slice(wholes, F.lit(1), i + 1), lambda w: w == pair["w"]))
-        before = F.length(F.call_function("substring_index", line, pair["w"], nth))
-        return F.struct(pair["v"].alias("value"), (before + F.instr(pair["w"], pair["v"]) - 1).cast("bigint").alias("ahead"))
 
-    return F.transform(F.arrays_zip(values.alias("v"), wholes.alias("w")), place)
+def _any(column: str, rules: list[LineRule]) -> Column:
+    return reduce(Column.__or__, [may_match(F.col(column), r.regex) for r in rules], F.lit(False))
+
+
+def _matches(line: Column, pattern: str, group: int) -> Column:
+    """(value, whole, nth) of each match; nth: how often the whole match has come in the line, with this one.
+
+    The pairs are bound to a variable: inside a lambda, an expression would be computed again for each element.
+    """
+    values, wholes = (F.regexp_extract_all(line, F.lit(pattern), F.lit(g)) for g in (group, 0))
+
+    def numbered(pairs):
+        def number(pair, i):
+            nth = F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda p: p["w"] == pair["w"]))
+            return F.struct(pair["v"].alias("value"), pair["w"].alias("whole"), nth.alias("nth"))
+
+        return F.transform(pairs, number)
+
+    return F.transform(F.array(F.arrays_zip(values.alias("v"), wholes.alias("w"))), numbered)[0]
 
 
 def without_markers(found: DataFrame, markers: tuple[str, ...]) -> DataFrame:
