@@ -15,6 +15,7 @@ from sieveline.plans import catalog
 #: Queries on native.findings that were measured at 1 GB.
 MEASURED = [
     "entropy_filter",
+    "ignore_anti_join",
 ]
 
 
@@ -59,3 +60,13 @@ def test_entropy_of_odd_values(spark):
     assert {r.v: round(r.e, 9) for r in rows.collect()} == {v: round(text.byte_entropy(v or ""), 9) for v in values}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"hex\(", plan)) == 2, "once for the bytes, once for their number"
+
+
+def test_ignored_findings_come_from_one_scan(spark, tmp_path):
+    """Both sides of the join read findings; neither searches the texts again."""
+    value = "a1b2c3d4e5" * 2
+    docs = spark.createDataFrame([(3, f"token={value}"), (4, f"token={value}\ntoken={value[::-1]}"), (5, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.QUERIES["ignore_anti_join"](spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [(4, "token", value[::-1])]
+    assert not any("documents.parquet" in f for f in df.inputFiles())
