@@ -16,6 +16,7 @@ from sieveline.plans import catalog
 MEASURED = [
     "entropy_filter",
     "ignore_anti_join",
+    "context_window_cols",
 ]
 
 
@@ -70,3 +71,14 @@ def test_ignored_findings_come_from_one_scan(spark, tmp_path):
     df = catalog.QUERIES["ignore_anti_join"](spark, str(tmp_path))
     assert [tuple(r) for r in df.collect()] == [(4, "token", value[::-1])]
     assert not any("documents.parquet" in f for f in df.inputFiles())
+
+
+def test_many_matches_on_one_line_have_their_contexts(spark, tmp_path):
+    """A pattern runs over a line twice, for values and whole matches, and not again for each of its matches."""
+    n = 300
+    line = " ".join(f"user{k % (n - 1)}@example.org" for k in range(n))
+    spark.createDataFrame([(1, line)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.QUERIES["context_window_cols"](spark, str(tmp_path))
+    at = [m.start() for m in re.finditer("user", line)]
+    assert sorted(r.context for r in df.collect()) == sorted(line[max(0, a - 10) : a + len(r) + 10] for a, r in zip(at, line.split()))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2 * len(catalog.LINE_RULES)
