@@ -17,6 +17,7 @@ MEASURED = [
     "entropy_filter",
     "ignore_anti_join",
     "context_window_cols",
+    "rule_filters",
 ]
 
 
