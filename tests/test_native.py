@@ -18,6 +18,7 @@ MEASURED = [
     "ignore_anti_join",
     "context_window_cols",
     "rule_filters",
+    "component_sets_capped",
 ]
 
 
