@@ -19,6 +19,7 @@ MEASURED = [
     "context_window_cols",
     "rule_filters",
     "component_sets_capped",
+    "native_findings",
 ]
 
 
