@@ -20,6 +20,7 @@ MEASURED = [
     "rule_filters",
     "component_sets_capped",
     "native_findings",
+    "scan_summary",
 ]
 
 
