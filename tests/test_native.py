@@ -21,6 +21,7 @@ MEASURED = [
     "component_sets_capped",
     "native_findings",
     "scan_summary",
+    "findings_by_rule",
 ]
 
 
