@@ -22,6 +22,7 @@ MEASURED = [
     "native_findings",
     "scan_summary",
     "findings_by_rule",
+    "global_filter",
 ]
 
 
