@@ -23,6 +23,7 @@ MEASURED = [
     "scan_summary",
     "findings_by_rule",
     "global_filter",
+    "status_rollup",
 ]
 
 
