@@ -24,6 +24,7 @@ MEASURED = [
     "findings_by_rule",
     "global_filter",
     "status_rollup",
+    "specificity_precedence",
 ]
 
 
