@@ -25,6 +25,7 @@ MEASURED = [
     "global_filter",
     "status_rollup",
     "specificity_precedence",
+    "value_fingerprint",
 ]
 
 
